@@ -1,9 +1,8 @@
 """Document fingerprints: one-permutation MinHash, in DataFrame functions only.
 
-Each shingle of SHINGLE words is hashed once; the hash's remainder names its bin and the quotient is
-compared there, so one pass gives all BINS minima. Empty bins are filled by optimal densification: bin j
-takes the minimum of the full bin that comes first in a random order that belongs to j alone (the
-order sorts bins by a hash of the pair). BITS low-order bits of each minimum are packed as hex, and
+Each shingle of SHINGLE words is hashed once; the hash's top bits name its bin and the rest is compared there, so one pass gives all BINS minima. Empty bins are filled by optimal densification: bin j
+takes the minimum of the first full bin in a random sequence of bins that belongs to j alone (hashes of
+j and the attempt; after PROBES of them the full bins are ranked by a hash of the pair). BITS low-order bits of each minimum are packed as hex, and
 the likeness of two fingerprints corrects the rate of equal bins for chance: (m - c) / (1 - c), c = 2^-BITS,
 held to 0..1.
 
@@ -17,36 +16,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
-
 SHINGLE, BINS, BITS = 5, 256, 4
+PROBES = 12
 ROWS_PER_BUCKET, MAX_BUCKETS = 64, 1 << 16
 
 
-def word_hashes(text: Column) -> Column:
-    """A hash for each word. Keep it in a column of its own: an expression that is named in a lambda
-    is worked out for each element."""
-    return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-
-
-def shingle_hashes(words: Column, width: int = SHINGLE) -> Column:
-    """Hashes of the shingles of a column of word_hashes, repeats included; empty without a word."""
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
-    return F.when(F.size(words) >= width, many).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
-
-
-def densified(full: Column, bins: int = BINS) -> Column:
-    """Array of the minima of all bins, in order, from a column of (bin, least) of the full ones."""
-    empty = F.array_except(F.sequence(F.lit(0), F.lit(bins - 1)), F.transform(full, lambda x: x["bin"]))
-    nearest = lambda j: F.array_min(F.transform(full, lambda x: F.struct(F.xxhash64(j, x["bin"]).alias("rank"), x["least"].alias("least"))))["least"]
-    filled = F.transform(empty, lambda j: F.struct(j.alias("bin"), nearest(j).alias("least")))
-    return F.transform(F.sort_array(F.concat(full, filled)), lambda x: x["least"])
+def with_fingerprint(df: DataFrame, text_col: str, out: str, width: int = SHINGLE, bins: int = BINS, bits: int = BITS) -> DataFrame:
+    """df and the fingerprint of a text; no shuffle. bins: a power of two.
 
-
-def packed(minima: Column, bits: int = BITS) -> Column:
-    """Hex text of the low-order bits, one digit for each four."""
+    Each step is a column of its own: an expression that is named inside a lambda would be worked out for
+    each element. Steps pair arrays with zip_with, which binds elements directly, not by index.
+    """
+    q, step = bins.bit_length() - 1, [f"__{out}_{k}" for k in range(5)]
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    words, run, codes, dense, full = map(F.col, step)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    df = df.select(*kept, F.transform(F.array_remove(F.split(text, " "), ""), lambda w: F.xxhash64(w)).alias(step[0]))
+    # run: hashes of 1, then 2, 4, ... words from each word on, then of the words that are left; those beyond the end count as none
+    df = df.select(*kept, words, words.alias(step[1]))
+    have = 1
+    while have < width:
+        more = min(have, width - have)
+        other = run if more == have else words
+        if other is words:
+            more = 1
+        df = df.select(*kept, words, F.zip_with(run, F.slice(other, have + 1, F.size(words)), lambda x, y: F.xxhash64(x, y)).alias(step[1]))
+        have += more
+    # a hash's top bits name its bin; each bin has a mark that sorts after all of its hashes
+    low = (1 << (64 - q)) - 1
+    marks = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: F.shiftleft(j.cast("long") - (1 << (q - 1)), 64 - q).bitwiseOR(F.lit(low)))
+    shingles = F.slice(run, 1, F.greatest(F.lit(1), F.size(words) - width + 1))
+    df = df.select(*kept, F.when(F.size(words) > 0, F.sort_array(F.concat(shingles, marks))).alias(step[2]))
+    # the least of each bin: the code whose forerunner is of another bin
+    first = F.zip_with(codes, F.concat(F.array(F.lit(None).cast("long")), F.slice(codes, 1, F.size(codes) - 1)), lambda c, before: F.when(F.coalesce(F.shiftright(c.bitwiseXOR(before), 64 - q) != 0, F.lit(True)), c))
+    df = df.select(*kept, F.array_compact(first).alias(step[3]))
+    df = df.select(*kept, dense, F.filter(dense, lambda c: c.bitwiseAND(F.lit(low)) != low).alias(step[4]))
+    # an empty bin probes bins in an order of its own until one is full; after PROBES, the full ones are ranked at once
+    def probe(j, t):
+        c = F.get(dense, F.pmod(F.xxhash64(j, F.lit(t)), F.lit(bins)).cast("int"))
+        return F.when(c.bitwiseAND(F.lit(low)) != low, c)
+
+    rest = lambda j: F.array_min(F.transform(full, lambda c: F.struct(F.xxhash64(j, F.shiftright(c, 64 - q)).alias("rank"), c.alias("code"))))["code"]
+    filled = lambda c, j: F.when(c.bitwiseAND(F.lit(low)) != low, c).otherwise(F.coalesce(*[probe(j, t) for t in range(PROBES)], rest(j)))
     digits = lambda v: F.hex(v.bitwiseAND((1 << bits) - 1))
-    return F.lower(F.array_join(F.transform(minima, digits if bits == 4 else lambda v: F.lpad(digits(v), bits // 4, "0")), ""))
+    # low-order bits of the minimum hashed with its bin: copies of one minimum in several bins agree with another's by chance one by one
+    low_bits = lambda c, j: digits(F.xxhash64(filled(c, j), j))
+    hexed = F.transform(dense, lambda c, j: low_bits(c, j) if bits == 4 else F.lpad(low_bits(c, j), bits // 4, "0"))
+    return df.select(*kept, F.coalesce(F.lower(F.array_join(hexed, "")), F.lit("")).alias(out))
 
 
 def likeness(a: Column, b: Column, bits: int = BITS, bins: int = BINS) -> Column:
@@ -59,16 +77,6 @@ def likeness(a: Column, b: Column, bits: int = BITS, bins: int = BINS) -> Column
     return F.when((a == "") | (b == ""), F.when(a == b, 1.0).otherwise(0.0)).otherwise(good)
 
 
-def fingerprint(df: DataFrame, keys: list[str], text_col: str = "text", out: str = "fingerprint", width: int = SHINGLE, bins: int = BINS, bits: int = BITS) -> DataFrame:
-    """keys and the fingerprint of the text, for each distinct value of keys (which should name rows).
-    If df is already partitioned by some of keys, no shuffle is needed."""
-    words = df.select(*keys, word_hashes(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    one = words.select(*keys, F.explode_outer(shingle_hashes(F.col("words"), width)).alias("h"))
-    least = one.groupBy(*keys, F.pmod("h", F.lit(bins)).cast("int").alias("bin")).agg(F.min(F.expr(f"h div {bins}")).alias("least"))
-    full = least.groupBy(*keys).agg(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "least"))).alias("full"))
-    return full.select(*keys, F.when(F.size("full") == 0, F.lit("")).otherwise(packed(densified(F.col("full"), bins), bits)).alias(out))
-
-
 def _bounds(ids: DataFrame, buckets: int) -> list:
     """Up to buckets - 1 ids that split the ids evenly, ascending."""
     if buckets <= 1:
@@ -127,16 +135,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     placed = dealt.withColumn("next", F.lead("text").over(order)).withColumn("row", F.row_number().over(order))
     edited = placed.select("bucket", "row", "follower", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("follower") == 0, F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))).alias("edited"))
-    both = edited.select("bucket", "row", "follower", "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), F.explode(F.when(F.col("follower") == 0, F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t"))))).alias("x"))
-    keys = ["bucket", "row", "follower", "doc_id", "n_chars", "sha"]
-    prints = fingerprint(both.select(*keys, F.col("x.v").alias("v"), F.col("x.t").alias("text")), [*keys, "v"])
-    wide = prints.groupBy(*keys).agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    near = wide.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("row"))).where("follower = 0")
-    return near.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
+    hashed = edited.withColumn("edited_sha256", F.sha2("edited", 256))
+    prints = with_fingerprint(with_fingerprint(hashed, "text", "fingerprint").drop("text"), "edited", "edited_fingerprint").drop("edited")
+    near = prints.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("row"))).where("follower = 0")
+    return near.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
 
 
 def _long(x: int) -> str:
     return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
 
-
-__all__ = ["densified", "edited_fingerprints", "fingerprint", "likeness", "packed", "shingle_hashes", "staged"]
