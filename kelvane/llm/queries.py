@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, pii, secret_scan
+import os
+
+from . import chunk_dedup, embed_dedup, fingerprints, langid, piece_codec, pii, secret_scan
 from .common import table
 
 
+def vocabulary() -> str:
+    """The public SentencePiece vocabulary; KELVANE_PIECES names another file."""
+    return os.environ.get("KELVANE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_embedding_near_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -18,9 +29,17 @@ def op6_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark, sf_dir):
+    return piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_secrets(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_pii, op6_fingerprints, op8_secrets)}
+def op9_substring_dedup(spark, sf_dir):
+    return chunk_dedup.passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_language_id, op5_pii, op6_fingerprints, op7_sentencepiece, op8_secrets, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
