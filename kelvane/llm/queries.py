@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import chunk_dedup, embed_dedup, fingerprints, langid, piece_codec, pii, secret_scan
+from . import chunk_dedup, embed_dedup, fingerprints, jaccard_join, langid, piece_codec, pii, secret_scan
 from .common import table
 
 
@@ -41,5 +41,9 @@ def op9_substring_dedup(spark, sf_dir):
     return chunk_dedup.passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_language_id, op5_pii, op6_fingerprints, op7_sentencepiece, op8_secrets, op9_substring_dedup)}
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.connect(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_language_id, op5_pii, op6_fingerprints, op7_sentencepiece, op8_secrets, op9_substring_dedup, op10_ngram_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
