@@ -181,6 +181,12 @@ def connect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs without the documents that have a linked one with a smaller id; rows with a null id stay."""
+    gone = connect(docs, id_col=id_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+
+
 def _digest(s: np.ndarray) -> str:
     import hashlib
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_pieces
 
@@ -135,6 +136,31 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def relabel(docs: DataFrame, model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with lang_col set to the prediction and its score in __score; all else stays."""
+    langs, logs = model
+    shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T)))
+
+    def run(batches):
+        names, table = shared.value
+        table = np.asfortranarray(table)
+        for batch in batches:
+            pred, score = [], []
+            for (texts,) in in_pieces([batch], [text_col]):
+                at = [k for k, t in enumerate(texts) if names and has_letter(t)]
+                p, s = ["und"] * len(texts), [0.0] * len(texts)
+                if at:
+                    for k, x, y in zip(at, *score_texts([texts[k] for k in at], names, table), strict=True):
+                        p[k], s[k] = x, float(y)
+                pred += p
+                score += s
+            out = batch.set_column(batch.schema.get_field_index(lang_col), lang_col, pa.array(pred, pa.string()))
+            yield out.append_column("__score", pa.array(score, pa.float64()))
+
+    fields = [f if f.name != lang_col else T.StructField(lang_col, T.StringType()) for f in docs.schema.fields]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("__score", T.DoubleType())]))
+
+
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text leaves 1 by 3; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import chunk_dedup, embed_dedup, fingerprints, jaccard_join, langid, piece_codec, pii, secret_scan
+from . import chunk_dedup, embed_dedup, fingerprints, jaccard_join, langid, mixing, piece_codec, pii, secret_scan, token_shards
 from .common import table
 
 
@@ -17,6 +17,15 @@ def op1_embedding_near_dedup(spark, sf_dir):
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_temperature_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=4)
+
+
+def op3_training_order(spark, sf_dir):
+    """Without the path, which is new in each run."""
+    return token_shards.materialise(table(spark, sf_dir, "documents")).drop("path")
+
+
 def op4_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -45,5 +54,5 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard_join.connect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op4_language_id, op5_pii, op6_fingerprints, op7_sentencepiece, op8_secrets, op9_substring_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_temperature_mixing, op3_training_order, op4_language_id, op5_pii, op6_fingerprints, op7_sentencepiece, op8_secrets, op9_substring_dedup, op10_ngram_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
