@@ -20,7 +20,7 @@ from .plans import planner
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-LO, HI, MID = "0000000020", "0000000090", "0000000042"
+LO, HI, MID = "0000000003", "0000000090", "0000000005"
 
 # ---- base views, here and in SQL ----
 
@@ -142,7 +142,7 @@ q("first_n", "SELECT key, value, version FROM live_t ORDER BY key LIMIT 7")(lamb
 q("last_n", "SELECT key, value, version FROM live_t ORDER BY key DESC LIMIT 7")(lambda s, sf: access.last_n(live_t(s, sf), 7))
 q("next_after", f"SELECT key, value, version FROM live_t WHERE key > '{MID}' ORDER BY key LIMIT 1")(lambda s, sf: access.next_after(live_t(s, sf), MID))
 q("prev_before", f"SELECT key, value, version FROM live_t WHERE key < '{MID}' ORDER BY key DESC LIMIT 1")(lambda s, sf: access.prev_before(live_t(s, sf), MID))
-q("prefix_scan", "SELECT key, value, version FROM live_t WHERE starts_with(key, '000000004')")(lambda s, sf: access.prefix(live_t(s, sf), "000000004"))
+q("prefix_scan", "SELECT key, value, version FROM live_t WHERE starts_with(key, '000000000')")(lambda s, sf: access.prefix(live_t(s, sf), "000000000"))
 q("list_keys", "SELECT key FROM live_t")(lambda s, sf: access.list_keys(live_t(s, sf)))
 q("live_count", "SELECT count(*) AS n FROM live_t")(lambda s, sf: access.count(live_t(s, sf)))
 q("fold_value_bytes", "SELECT CAST(sum(length(value)) AS BIGINT) AS value_bytes FROM live_e")(lambda s, sf: access.value_bytes(live_e(s, sf)))
