@@ -20,7 +20,7 @@ from .plans import planner
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-LO, HI, MID = "0000000003", "0000000090", "0000000005"
+LO, HI, MID = "0000000003", "0000000090", "0000000007"
 
 # ---- base views, here and in SQL ----
 
