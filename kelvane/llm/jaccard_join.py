@@ -11,7 +11,7 @@ subsets to enumerate are set against the entries of the lists that it would save
 
 The lists are scanned without forming all pairs. Each list has a leader, the member whose own lists are
 longest (in a group of near copies that is the one nearest to all), and each member is compared
-with its leaders alone. Distance d (1 - Jaccard) is a metric: two members of a cluster (all that share a leader)
+with its leaders alone (sizes and small sketches rule most unrelated pairs out, without error, before texts are moved). Distance d (1 - Jaccard) is a metric: two members of a cluster (all that share a leader)
 can link only if their distances to it differ by no more than the threshold, and members that are already
 connected need no comparison. What is left, members of different components in neighbouring bands of
 d, meets in blocks of at most 2 * PART documents. So every list is exhausted, no group grows with a list, and
@@ -168,9 +168,10 @@ def connect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([_digest(s) if len(s) else None for s in sets], pa.string()),
-            ], ["doc_id", "n_shingles", "digest"])
+                pa.array([_sketch(s) for s in sets], pa.binary()),
+            ], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    members = staged(rows.mapInArrow(digest, "doc_id long, n_shingles int, digest string"), "members")
+    members = staged(rows.mapInArrow(digest, "doc_id long, n_shingles int, digest string, sketch binary"), "members")
     classes = staged(members.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= max(LIGHT_SIZES)).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(sizes, percent)
@@ -193,6 +194,31 @@ def _digest(s: np.ndarray) -> str:
     return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
 
 
+SKETCH, SKETCHED = 256, 1000
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """A byte for each of some parts of all shingles: the sum, modulo 256, of mixed hashes of those in the part.
+
+    Where two sketches differ, so do the sets, in a shingle of that part: sets whose symmetric difference is d
+    differ in d bytes at most. This rules pairs out without error. Large sets have 4, 16, ... times SKETCH parts, so that
+    unrelated ones differ in more bytes than linked ones may; sums of parts make a smaller sketch of a larger one."""
+    parts = SKETCH
+    while len(s) > SKETCHED * (parts // SKETCH):
+        parts *= 4
+    part = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.intp)
+    return np.bincount(part, weights=(_mix(s) & np.uint64(255)).astype(np.float64), minlength=parts).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def _folded(sketch: bytes, parts: int) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint8).reshape(-1, parts).sum(0, dtype=np.uint8)
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    parts = min(len(a), len(b))
+    return int((_folded(a, parts) != _folded(b, parts)).sum())
+
+
 def _light(rows: DataFrame, boundary: int, width: int, percent: int) -> DataFrame:
     """Links among sets of at most boundary shingles, through shared subsets."""
     def emit(batches):
@@ -230,10 +256,10 @@ def _entries(rows: DataFrame, order, floor: int, width: int, percent: int) -> Da
 
 def _heavy(rows: DataFrame, members: DataFrame, order, boundary: int, width: int, percent: int) -> DataFrame:
     """Links of sets with more than boundary shingles (and any between these and smaller ones)."""
-    listed = _entries(rows, order, -(-(boundary + 1) * percent // 100), width, percent)
+    listed = staged(_entries(rows, order, -(-(boundary + 1) * percent // 100), width, percent), "entries")
     shared = listed.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     classes = members.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rep_of = members.join(classes, "digest").select(F.col("doc_id").alias("id"), "rep").distinct()
+    rep_of = members.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("id"), "rep").distinct()
     # copies of a set are one entry of a list
     entries = staged(listed.join(shared, "token").join(rep_of, "id").select("token", F.col("rep").alias("id")).distinct(), "lists")
     length = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
@@ -243,17 +269,58 @@ def _heavy(rows: DataFrame, members: DataFrame, order, boundary: int, width: int
     weight = weight.join(own, "id").select("id", (F.col("weight") * F.col("k") / F.col("n")).alias("weight"))
     leader = entries.join(weight, "id").groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("l")).select("token", (-F.col("l.id")).alias("leader"))
     pairs = staged(entries.join(leader, "token").select("leader", "id").distinct(), "stars")
-    texts = staged(rows.join(pairs.select(F.col("id").alias("doc_id")).unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct(), "doc_id"), "near-texts")
-    stars = staged(_stars(pairs.where("id <> leader"), texts, width, percent), "distances")
-    linked = stars.where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    sketches = members.where("digest is not null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").distinct()
+    stars = staged(_rule_out(pairs.where("id <> leader"), sketches, percent), "bounds")
+    near = staged(_measured(stars.where("possible").select("leader", "id").distinct(), rows, width, percent), "distances")
+    linked = near.where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     comp = components(linked, "stars")
-    more = _blocks(stars, comp, texts, width, percent)
+    places = near.select("leader", "id", F.col("d").alias("lo"), F.col("d").alias("hi")).unionByName(stars.where("not possible").select("leader", "id", "lo", F.lit(1.0).alias("hi")))
+    met = staged(_blocks(places, comp, sketches, percent), "candidates")
+    more = _measured(met, rows, width, percent).where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     return linked.unionByName(more)
 
 
-def _stars(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(leader, id, d, linked) for each pair. Leaders' texts meet their members' in a join that adaptive
-    execution may split; the last leader's set is kept, as its rows come together."""
+def _rule_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(leader, id, possible, lo): whether sizes and sketches let the pair link, and the least distance that
+    the sketches allow."""
+    def look(batches):
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
+            n, m = col("n").to_numpy(zero_copy_only=False).astype(np.int64), col("m").to_numpy(zero_copy_only=False).astype(np.int64)
+            diff = np.array([_differ(x, y) for x, y in zip(col("sketch").to_pylist(), col("other").to_pylist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([col("leader"), col("id"), pa.array(_may_link(n, m, diff, percent), pa.bool_()), pa.array(_least(n, m, diff), pa.float64())], ["leader", "id", "possible", "lo"])
+
+    joined = pairs.join(sketches, "id").join(sketches.select(F.col("id").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("other")), "leader")
+    return joined.mapInArrow(look, "leader long, id long, possible boolean, lo double")
+
+
+def _may_link(n, m, diff, percent: int):
+    """Whether sets of n and m shingles that differ in diff at least can link: the overlap is (n + m - difference) / 2."""
+    return (diff <= n + m - 2 * -(-percent * (n + m) // (100 + percent))) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def _least(n, m, diff):
+    """The least distance of such sets: by the difference, and by the sizes alone."""
+    return np.maximum(2 * diff / (n + m + diff), 1 - np.minimum(n, m) / np.maximum(n, m))
+
+
+def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among ids. A bitmap of 2^23 hashed ids, broadcast (131,072 words at most), leaves out most of the
+    others before texts are moved; the join decides."""
+    bits = 1 << 23
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = ids.select(slot("id").alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("held"))
+    some = rows.withColumn("__s", slot("doc_id")).withColumn("word", F.expr("__s div 64")).join(F.broadcast(staged(words, "bitmap")), "word")
+    some = some.where(F.expr("(shiftrightunsigned(held, cast(__s % 64 as int)) & 1) = 1")).select("doc_id", "text")
+    return some.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+
+
+def _measured(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(leader, id, d, linked) for each pair, from whole texts. Leaders' texts meet their members' in a join that
+    adaptive execution may split; the last leader's set is kept, as its rows come together."""
+    ids = staged(pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct(), "ids")
+    texts = staged(_texts_of(ids, rows), "near-texts")
+
     def measure(batches):
         last, base = None, None
         for leads, lead_texts, ids, texts_ in in_pieces(batches, ["leader", "lead_text", "id", "text"]):
@@ -275,13 +342,13 @@ def _stars(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 PART = 128
 
 
-def _blocks(stars: DataFrame, comp: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of a cluster that are in different components so far, as a spanning forest
-    of each block."""
+def _blocks(places: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (leader, id) still to be measured: members of one cluster that are in different components so far and that
+    neither their distances from its leader (between lo and hi) nor sizes and sketches rule out."""
     delta = 1 - percent / 100 + 1e-9
-    centre = stars.select("leader").distinct().select("leader", F.col("leader").alias("id"), F.lit(0.0).alias("d"))
+    centre = places.select("leader").distinct().select("leader", F.col("leader").alias("id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
     # repeated ids may have several distances to a leader: each counts
-    cluster = stars.select("leader", "id", "d").unionByName(centre).distinct().join(comp, "id", "left").select("leader", "id", "d", F.coalesce("component", "id").alias("comp"), F.floor(F.col("d") / delta).alias("band"))
+    cluster = places.unionByName(centre).distinct().join(comp, "id", "left").select("leader", "id", "lo", "hi", F.coalesce("component", "id").alias("comp"), F.when(F.col("lo") == F.col("hi"), F.floor(F.col("lo") / delta)).otherwise(F.lit(-1) - F.floor(F.col("lo") / delta)).alias("band"))
     mixed = cluster.groupBy("leader").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("leader")
     cluster = staged(cluster.join(mixed, "leader"), "clusters")
     # a component with many members in a band has parts of its own, which need not meet; the rest share parts
@@ -290,46 +357,31 @@ def _blocks(stars: DataFrame, comp: DataFrame, texts: DataFrame, width: int, per
     kinds = sizes.select("leader", "band", "comp", F.coalesce(kind, F.lit(-(1 << 63))).alias("kind"), "m")
     parts = kinds.groupBy("leader", "band", "kind").agg(F.ceil(F.sum("m") / PART).cast("int").alias("parts"))
     placed = cluster.join(kinds.drop("m"), ["leader", "band", "comp"]).join(parts, ["leader", "band", "kind"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    placed = staged(placed.select("leader", "id", "d", "comp", "band", "kind", "part"), "parts")
-    p = placed.groupBy("leader", "band", "kind", "part").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    left, right = (p.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "kind", "part", "c1", "c2")]) for k in "lr")
-    meets = left.join(right, "leader").where("abs(bandl - bandr) <= 1 and (bandl, kindl, partl) <= (bandr, kindr, partr)").where("not (c1l = c2l and c1r = c2r and c1l = c1r)")
+    placed = staged(placed.select("leader", "id", "lo", "hi", "comp", "band", "kind", "part"), "parts")
+    p = placed.groupBy("leader", "band", "kind", "part").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    left, right = (p.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "kind", "part", "c1", "c2", "lo", "hi")]) for k in "lr")
+    meets = left.join(right, "leader").where(f"lol <= hir + {delta} and lor <= hil + {delta} and (bandl, kindl, partl) <= (bandr, kindr, partr)").where("not (c1l = c2l and c1r = c2r and c1l = c1r)")
     meets = staged(meets.select("leader", "bandl", "kindl", "partl", "bandr", "kindr", "partr"), "meetings")
     key = [F.col(c) for c in meets.columns]
     sides = meets.select(F.struct(*key).alias("block"), "leader", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("band", "kind", "part")]) for k in "lr"]))).alias("p"))
-    sides = sides.select("block", "leader", "p.*")
-    rows = sides.join(placed, ["leader", "band", "kind", "part"]).select(F.xxhash64("block").alias("h"), "block", "id", "d", "comp", "band", "kind", "part").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = sides.select("block", "leader", "p.*").join(placed, ["leader", "band", "kind", "part"]).select(F.xxhash64("block").alias("h"), "block", "id", "lo", "hi", "comp").join(sketches, "id")
 
     def meet(pdf):
         import pandas as pd
 
-        sets = [shingles(t, width) for t in pdf["text"]]
-        size = np.array([len(s) for s in sets])
-        ids, comps, d = pdf["id"].tolist(), pdf["comp"].tolist(), pdf["d"].to_numpy()
-        root = {c: c for c in comps}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        at = np.concatenate([[0], np.cumsum(size)])
-        mark, out = np.zeros(len(flat), np.int64), []
+        lo, hi, n, comps, ids = (pdf[c].to_numpy() for c in ("lo", "hi", "n", "comp", "id"))
+        n, out, sketch = n.astype(np.int64), [], pdf["sketch"].tolist()
+        length = np.array([len(x) for x in sketch])
+        sk = {parts: np.stack([_folded(x, parts) if len(x) >= parts else np.zeros(parts, np.uint8) for x in sketch]) for parts in np.unique(length).tolist()}
         for i in range(len(ids)):
-            later = np.arange(i + 1, len(ids))
-            later = later[(np.abs(d[later] - d[i]) <= delta) & (100 * np.minimum(size[later], size[i]) >= percent * np.maximum(size[later], size[i]))]
-            later = [j for j in later.tolist() if find(comps[j]) != find(comps[i])]
-            if not later or not size[i]:
-                continue
-            mark[inverse[at[i]:at[i + 1]]] = 1
-            for j in later:
-                both = int(mark[inverse[at[j]:at[j + 1]]].sum())
-                if both and 100 * both >= percent * (size[i] + size[j] - both) and (x := find(comps[i])) != (y := find(comps[j])):
-                    root[max(x, y)] = min(x, y)
-                    out.append((ids[i], ids[j]))
-            mark[inverse[at[i]:at[i + 1]]] = 0
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("h", "block").applyInPandas(lambda pdf: meet(pdf), "a long, b long")
+            j = np.arange(i + 1, len(ids))
+            j = j[(comps[j] != comps[i]) & (lo[j] <= hi[i] + delta) & (lo[i] <= hi[j] + delta)]
+            diff = np.zeros(len(j), np.int64)
+            for parts, at in sk.items():
+                same = np.minimum(length[j], length[i]) == parts
+                diff[same] = (at[j[same]] != at[i]).sum(1)
+            j = j[_may_link(n[j], n[i], diff, percent)]
+            out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["leader", "id"])
+
+    return rows.groupBy("h", "block").applyInPandas(lambda pdf: meet(pdf), "leader long, id long").distinct()
