@@ -268,14 +268,23 @@ def _heavy(rows: DataFrame, members: DataFrame, order, boundary: int, width: int
     own = members.select(F.col("doc_id").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n"))
     weight = weight.join(own, "id").select("id", (F.col("weight") * F.col("k") / F.col("n")).alias("weight"))
     leader = entries.join(weight, "id").groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("l")).select("token", (-F.col("l.id")).alias("leader"))
-    pairs = staged(entries.join(leader, "token").select("leader", "id").distinct(), "stars")
+    led = staged(entries.select("token", "id").join(leader, "token"), "led")
+    pairs = staged(led.select("leader", "id").distinct(), "stars")
     sketches = members.where("digest is not null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").distinct()
     stars = staged(_rule_out(pairs.where("id <> leader"), sketches, percent), "bounds")
     near = staged(_measured(stars.where("possible").select("leader", "id").distinct(), rows, width, percent), "distances")
     linked = near.where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     comp = components(linked, "stars")
-    places = near.select("leader", "id", F.col("d").alias("lo"), F.col("d").alias("hi")).unionByName(stars.where("not possible").select("leader", "id", "lo", F.lit(1.0).alias("hi")))
-    met = staged(_blocks(places, comp, sketches, percent), "candidates")
+    # members that were measured meet others of their leader's cluster; members that were ruled out, those of their lists
+    delta = 1 - percent / 100 + 1e-9
+    centre = pairs.select("leader").distinct().select("leader", F.col("leader").alias("id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
+    known = near.select("leader", "id", F.col("d").alias("lo"), F.col("d").alias("hi")).unionByName(centre).distinct()
+    far = stars.where("not possible").select("leader", "id", "lo", F.lit(2.0).alias("hi"))
+    listed = staged(led.join(known.unionByName(far), ["leader", "id"]).select("token", "id", "lo", "hi"), "list-places")
+    least = listed.where("hi > 1").groupBy("token").agg(F.min("lo").alias("least"), F.count("*").alias("far"))
+    by_list = listed.join(least, "token").where(f"hi > 1 or hi >= least - {delta}").select(F.col("token").alias("group"), "id", "lo", "hi")
+    by_cluster = known.select(F.col("leader").alias("group"), "id", "lo", "hi")
+    met = staged(_blocks(by_cluster, comp, sketches, percent, False).unionByName(_blocks(by_list, comp, sketches, percent, True)).distinct(), "candidates")
     more = _measured(met, rows, width, percent).where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     return linked.unionByName(more)
 
@@ -342,13 +351,12 @@ def _measured(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
 PART = 128
 
 
-def _blocks(places: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (leader, id) still to be measured: members of one cluster that are in different components so far and that
-    neither their distances from its leader (between lo and hi) nor sizes and sketches rule out."""
+def _blocks(places: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int, one_far: bool) -> DataFrame:
+    """Pairs (leader, id) still to be measured: members of one group (a cluster or a list) that are in different components
+    so far and that neither their distances from its leader (between lo and hi) nor sizes and sketches rule out.
+    one_far: only pairs with a member whose distance is not known."""
     delta = 1 - percent / 100 + 1e-9
-    centre = places.select("leader").distinct().select("leader", F.col("leader").alias("id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
-    # repeated ids may have several distances to a leader: each counts
-    cluster = places.unionByName(centre).distinct().join(comp, "id", "left").select("leader", "id", "lo", "hi", F.coalesce("component", "id").alias("comp"), F.when(F.col("lo") == F.col("hi"), F.floor(F.col("lo") / delta)).otherwise(F.lit(-1) - F.floor(F.col("lo") / delta)).alias("band"))
+    cluster = places.join(comp, "id", "left").select(F.col("group").alias("leader"), "id", "lo", "hi", F.coalesce("component", "id").alias("comp"), F.when(F.col("hi") <= 1, F.floor(F.col("lo") / delta)).otherwise(F.lit(-1) - F.floor(F.col("lo") / delta)).alias("band"))
     mixed = cluster.groupBy("leader").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("leader")
     cluster = staged(cluster.join(mixed, "leader"), "clusters")
     # a component with many members in a band has parts of its own, which need not meet; the rest share parts
@@ -361,6 +369,8 @@ def _blocks(places: DataFrame, comp: DataFrame, sketches: DataFrame, percent: in
     p = placed.groupBy("leader", "band", "kind", "part").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     left, right = (p.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "kind", "part", "c1", "c2", "lo", "hi")]) for k in "lr")
     meets = left.join(right, "leader").where(f"lol <= hir + {delta} and lor <= hil + {delta} and (bandl, kindl, partl) <= (bandr, kindr, partr)").where("not (c1l = c2l and c1r = c2r and c1l = c1r)")
+    if one_far:
+        meets = meets.where("bandl < 0 or bandr < 0")
     meets = staged(meets.select("leader", "bandl", "kindl", "partl", "bandr", "kindr", "partr"), "meetings")
     key = [F.col(c) for c in meets.columns]
     sides = meets.select(F.struct(*key).alias("block"), "leader", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("band", "kind", "part")]) for k in "lr"]))).alias("p"))
@@ -376,6 +386,8 @@ def _blocks(places: DataFrame, comp: DataFrame, sketches: DataFrame, percent: in
         for i in range(len(ids)):
             j = np.arange(i + 1, len(ids))
             j = j[(comps[j] != comps[i]) & (lo[j] <= hi[i] + delta) & (lo[i] <= hi[j] + delta)]
+            if one_far and hi[i] <= 1:
+                j = j[hi[j] > 1]
             diff = np.zeros(len(j), np.int64)
             for parts, at in sk.items():
                 same = np.minimum(length[j], length[i]) == parts

@@ -98,6 +98,25 @@ def test_jaccard_of_odd_rows(spark):
     assert jaccard_join.connect(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(4)
+    for n in (3, 40, 900, 1100, 4100):
+        base = np.unique(r.integers(0, 2**63, n * 2).astype(np.uint64))[:n]
+        other = np.unique(r.integers(0, 2**63, n * 2).astype(np.uint64))[:n]
+        for change in (0, 1, n // 20, n // 8):
+            t = np.unique(np.concatenate([base[change:], other[:change // 2]]))
+            both = len(np.intersect1d(base, t))
+            diff = jaccard_join._differ(jaccard_join._sketch(base), jaccard_join._sketch(t))
+            assert diff <= n + len(t) - 2 * both
+            for percent in (80, 90):
+                if 100 * both >= percent * (n + len(t) - both):
+                    assert jaccard_join._may_link(np.array([n]), np.array([len(t)]), np.array([diff]), percent)[0]
+            assert jaccard_join._least(n, len(t), diff) <= 1 - both / (n + len(t) - both) + 1e-12
+        if n >= 40:
+            far = jaccard_join._differ(jaccard_join._sketch(base), jaccard_join._sketch(other))
+            assert not jaccard_join._may_link(np.array([n]), np.array([n]), np.array([far]), 80)[0]
+
+
 def test_overlap_is_the_least_that_links():
     for s in range(1, 40):
         for t in range(s, 45):
