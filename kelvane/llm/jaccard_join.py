@@ -373,27 +373,56 @@ def _blocks(places: DataFrame, comp: DataFrame, sketches: DataFrame, percent: in
         meets = meets.where("bandl < 0 or bandr < 0")
     meets = staged(meets.select("leader", "bandl", "kindl", "partl", "bandr", "kindr", "partr"), "meetings")
     key = [F.col(c) for c in meets.columns]
-    sides = meets.select(F.struct(*key).alias("block"), "leader", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("band", "kind", "part")]) for k in "lr"]))).alias("p"))
-    rows = sides.select("block", "leader", "p.*").join(placed, ["leader", "band", "kind", "part"]).select(F.xxhash64("block").alias("h"), "block", "id", "lo", "hi", "comp").join(sketches, "id")
-
-    def meet(pdf):
-        import pandas as pd
-
-        lo, hi, n, comps, ids = (pdf[c].to_numpy() for c in ("lo", "hi", "n", "comp", "id"))
-        n, out, sketch = n.astype(np.int64), [], pdf["sketch"].tolist()
-        length = np.array([len(x) for x in sketch])
-        sk = {parts: np.stack([_folded(x, parts) if len(x) >= parts else np.zeros(parts, np.uint8) for x in sketch]) for parts in np.unique(length).tolist()}
-        for i in range(len(ids)):
-            j = np.arange(i + 1, len(ids))
-            j = j[(comps[j] != comps[i]) & (lo[j] <= hi[i] + delta) & (lo[i] <= hi[j] + delta)]
-            if one_far and hi[i] <= 1:
-                j = j[hi[j] > 1]
-            diff = np.zeros(len(j), np.int64)
-            for parts, at in sk.items():
-                same = np.minimum(length[j], length[i]) == parts
-                diff[same] = (at[j[same]] != at[i]).sum(1)
-            j = j[_may_link(n[j], n[i], diff, percent)]
-            out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["leader", "id"])
-
-    return rows.groupBy("h", "block").applyInPandas(lambda pdf: meet(pdf), "leader long, id long").distinct()
+    sides = meets.select(*[c.alias(f"b{k}") for k, c in enumerate(key)], "leader", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("band", "kind", "part")]) for k in "lr"]))).alias("p"))
+    block = [f"b{k}" for k in range(len(key))]
+    rows = sides.select(*block, "leader", "p.*").join(placed, ["leader", "band", "kind", "part"]).select(*block, "id", "lo", "hi", "comp").join(sketches, "id")
+
+    def meet(batches):
+        for g in _groups(batches, block):
+            lo, hi, n, comps, ids = (g[c] for c in ("lo", "hi", "n", "comp", "id"))
+            n, out, sketch = n.astype(np.int64), [], g["sketch"]
+            length = np.array([len(x) for x in sketch])
+            sk = {parts: np.stack([_folded(x, parts) if len(x) >= parts else np.zeros(parts, np.uint8) for x in sketch]) for parts in set(length.tolist())}
+            for i in range(len(ids) - 1):
+                j = np.arange(i + 1, len(ids))
+                j = j[(comps[j] != comps[i]) & (lo[j] <= hi[i] + delta) & (lo[i] <= hi[j] + delta)]
+                if one_far and hi[i] <= 1:
+                    j = j[hi[j] > 1]
+                if not len(j):
+                    continue
+                diff = np.zeros(len(j), np.int64)
+                for parts, at in sk.items():
+                    same = np.minimum(length[j], length[i]) == parts
+                    diff[same] = (at[j[same]] != at[i]).sum(1)
+                j = j[_may_link(n[j], n[i], diff, percent)]
+                if len(j):
+                    out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], 1))
+            if out:
+                both = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["leader", "id"])
+
+    # one group after another in sorted partitions: a call for each of many small groups would cost more than its work
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(meet, "leader long, id long").distinct()
+
+
+def _groups(batches, keys: list[str]):
+    """Columns (arrays, or lists of bytes) of each run of rows with equal keys; a run may span batches."""
+    held = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            cols = {f.name: b.column(k).to_pylist() if pa.types.is_binary(f.type) else b.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(b.schema)}
+            if not b.num_rows:
+                continue
+            held = cols if held is None else {c: held[c] + v if isinstance(v, list) else np.concatenate([held[c], v]) for c, v in cols.items()}
+        if held is None:
+            return
+        size = len(held[keys[0]])
+        change = np.zeros(size - 1, bool)
+        for c in keys:
+            change |= held[c][1:] != held[c][:-1]
+        ends = (np.flatnonzero(change) + 1).tolist() + ([size] if b is None else [])
+        start = 0
+        for end in ends:
+            yield {c: v[start:end] for c, v in held.items()}
+            start = end
+        held = {c: v[start:] for c, v in held.items()}
