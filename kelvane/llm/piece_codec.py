@@ -441,6 +441,23 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
 
 
+def packed(docs: DataFrame, model_path: str, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids as little-endian integers of id_bytes) for each row: encode without the hash and the check of the way back."""
+    with open(model_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under 1 MB
+    if len(Model(shared.value).pieces) > 1 << 8 * id_bytes:
+        raise ValueError(f"the vocabulary does not fit in {id_bytes} bytes")
+
+    def run(batches):
+        codec = Codec(Model(shared.value))
+        for keys, texts in in_pieces(batches, ["doc_id", "text"], 6_000_000):
+            ids, offsets = codec.encode([t or "" for t in texts])
+            raw = ids.astype(f"<u{id_bytes}")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([None if t is None else raw[a:b].tobytes() for t, (a, b) in zip(texts, itertools.pairwise(offsets.tolist()), strict=True)], pa.binary())], ["doc_id", "ids"])
+
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, ids binary")
+
+
 def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) from ids; null ids: null text. Bytes that are no UTF-8 are replaced."""
     with open(model_path, "rb") as f:

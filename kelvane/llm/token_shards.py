@@ -6,15 +6,15 @@ below N, permutes the numbers: each sequence has a global slot. Slots are range-
 PER_SHARD records of a fixed stride, so record r of the training order is at (r mod PER_SHARD) * stride of shard
 r div PER_SHARD, and reading can start and resume anywhere.
 
-Ids are the bytes of the text's UTF-8 (a byte vocabulary, one byte each), or those of a column of ids, two or
-four bytes each. A record is: document id (int64), number of the sequence in it (uint32), how many ids it has (uint32), then LENGTH
+Ids are those of a column of ids, two or four bytes each (one that is null or does not fit is an error; the column may
+hold them packed, little-endian), or without one the bytes of the text's UTF-8 (a byte vocabulary, one byte each). A record is: document id (int64), number of the sequence in it (uint32), how many ids it has (uint32), then LENGTH
 ids, unused ones 0; all little-endian.
 
 Numbering needs no shuffle of the text: one pass counts sequences per input split (a file and an offset, of
 which MAX_SPLITS at most are broadcast), a second pass counts on from each split's base. Input that is not
 read from files is staged as files first. Sequences travel to their shard in compressed runs. Shards are
 written under a temporary name and moved, so a task that is lost or run twice leaves whole files.
-Null or empty text: no sequences. A null id is stored as the least int64. Repeated rows are sequences of their own.
+Null or empty text or ids: no sequences. A null id is stored as the least int64. Repeated rows are sequences of their own.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import fresh_path, in_pieces, staged
 
@@ -73,9 +75,10 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
         docs.select("_metadata.file_path", "_metadata.file_block_start").schema
     except AnalysisException:
         docs = staged(docs, "sequences")
-    body = F.col(ids_col).cast("array<long>") if ids_col else F.col(text_col).cast("string")
+    lists = bool(ids_col) and not isinstance(docs.schema[ids_col].dataType, BinaryType)
+    body = F.col(ids_col).cast("array<long>") if lists else F.col(ids_col) if ids_col else F.col(text_col).cast("string")
     rows = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
-    size = F.size("body") if ids_col else F.octet_length("body")
+    size = F.size("body") if lists else F.octet_length("body") / item
     counts = rows.groupBy("file", "at").agg(F.sum(F.ceil(F.greatest(F.lit(0), F.coalesce(size, F.lit(0))) / length)).cast("long").alias("n")).limit(MAX_SPLITS + 1).collect()
     if len(counts) > MAX_SPLITS:
         raise ValueError(f"more than {MAX_SPLITS} input splits: raise spark.sql.files.maxPartitionBytes")
@@ -101,9 +104,9 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["shard", "run"])
 
         stride = 24 + length * item
-        for files, ats, ids, bodies in _pieces(batches, ids_col):
+        for files, ats, ids, bodies in _pieces(batches, lists, item):
             for file, at, i, x in zip(files, ats, ids, bodies, strict=True):
-                raw = (np.array(x or [], f"<u{item}").tobytes() if ids_col else (x or "").encode("utf-8", "replace"))
+                raw = x.tobytes() if lists else (x or b"") if ids_col else (x or "").encode("utf-8", "replace")
                 n = -(-len(raw) // (length * item))
                 if not n:
                     continue
@@ -151,10 +154,15 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
     return runs.groupBy("shard").applyInPandas(write, "doc_id long, seq_no long, slot long, shard long, offset long, n_ids long, path string")
 
 
-def _pieces(batches, ids_col):
-    if ids_col:
+def _pieces(batches, lists, item):
+    if lists:
         for b in batches:
-            yield [b.column(k).to_pylist() for k in range(4)]
+            flat = b.column(3).flatten()
+            values = flat.to_numpy(zero_copy_only=False)
+            if flat.null_count or len(values) and not 0 <= values.min() <= values.max() < 1 << 8 * item:
+                raise ValueError(f"an id is null or does not fit in {item} bytes")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(3)), 0).to_numpy(zero_copy_only=False))
+            yield [*(b.column(k).to_pylist() for k in range(3)), np.split(values.astype(f"<u{item}"), ends[:-1])[:len(b)]]
     else:
         yield from in_pieces(batches, ["file", "at", "doc_id", "body"], 8_000_000)
 

@@ -281,6 +281,24 @@ def test_shards_hold_each_sequence_once(spark, odd, tmp_path, ids):
     assert token_shards.materialise(docs.limit(0), f"file://{tmp_path}/none").collect() == []
 
 
+def test_query_shards_ids_of_the_vocabulary(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *_: odd)
+    out, real = f"file://{tmp_path}/shards", token_shards.materialise
+    monkeypatch.setattr(token_shards, "materialise", lambda docs, **kw: real(docs, out, **kw))
+    rows = queries.op3_training_order(spark, None).collect()
+    whole: dict = {}
+    for _, doc, seq, part in token_shards.read(out):
+        whole.setdefault((doc, seq), []).append(part.tolist())
+    want: dict = {}
+    for d in piece_codec.encode(odd, queries.vocabulary()).collect():
+        for k in range(0, len(d["ids"] or []), token_shards.LENGTH):
+            want.setdefault((d["doc_id"], k // token_shards.LENGTH), []).append(d["ids"][k:k + token_shards.LENGTH])
+    assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in want.items()} and len(rows) == sum(map(len, want.values()))
+    for bad in (-1, 1 << 16, None):
+        with pytest.raises(Exception, match="null or does not fit"):
+            real(spark.createDataFrame([(1, [3, bad])], "doc_id long, ids array<long>"), f"file://{tmp_path}/bad", ids_col="ids").collect()
+
+
 # ---- mixing ----
 
 def test_exponents_meet_their_targets():
