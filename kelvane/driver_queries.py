@@ -333,15 +333,26 @@ def latency_summary(spark, sf):
 
 
 q("geomean_ratio", "SELECT p_brand, CAST(round(exp(avg(ln((p_retailprice + 1) / (p_size + 1)))) * 1000000) AS BIGINT) AS g FROM part GROUP BY 1", False)(lambda s, sf: read(s, sf, "part").groupBy("p_brand").agg(F.round(stats.geometric_mean_of_ratios(F.col("p_retailprice") + 1, F.col("p_size") + 1) * 1000000).cast("long").alias("g")))
-q("checksums", "SELECT event_id, event_type FROM events", False)(lambda s, sf: read(s, sf, "events").where(F.crc32(F.lit(b"123456789")) == 3421780262).select("event_id", "event_type"))
+@q("checksums", "SELECT event_id, event_type FROM events", False)
+def checksums(spark, sf):
+    """Rows whose CRC-32 by Spark is the one that the binary format stores (zlib's): all rows, if the two agree."""
+    import zlib
+
+    @F.pandas_udf("long")
+    def stored(raw):
+        return raw.map(zlib.crc32)
+
+    e = read(spark, sf, "events").select("event_id", "event_type")
+    raw = F.encode(F.to_json(F.struct("event_id", "event_type")), "UTF-8")
+    return e.where(F.crc32(raw) == stored(raw))
 
 
 # ---- what SQL cannot say ----
 
 @q("native_roundtrip", None)
 def native_roundtrip(spark, sf):
-    """Some events as a file of the binary format, read back, and the last write of each key. The file is made in
-    the driver and read by tasks, so it needs a folder that both see; the events are few."""
+    """All events as files of the binary format, read back, and the last write of each key. Tasks write the files and
+    tasks read them, so they need a folder that all see."""
     import tempfile
     import uuid
 
@@ -349,8 +360,8 @@ def native_roundtrip(spark, sf):
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
     folder = f"{shared.removeprefix('file://')}/native-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp()
-    rows = log_e(spark, sf).where("seq <= 2000").orderBy("seq").toLocalIterator()
-    native.write_native(((r["seq"], 0, [(r["key"].encode(), None if r["tombstone"] else r["value"].encode())]) for r in rows), folder)
+    log = log_e(spark, sf)
+    native.write_native_frame(log.select("seq", "op_idx", F.encode("key", "UTF-8").alias("key"), F.encode("value", "UTF-8").alias("value"), "tombstone"), folder)
     return lv.live(native.read_native(spark, folder), order=lv.NATIVE_ORDER).select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), "version")
 
 

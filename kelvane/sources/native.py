@@ -245,6 +245,43 @@ def write_native(rows, folder: str, file_id: int = 0, floor: int = 1) -> str:
     return path
 
 
+def write_native_frame(log: DataFrame, folder: str) -> int:
+    """A log (seq, op_idx, key, value, tombstone), keys and values binary, as data files that the tasks write: ranges of seq,
+    so file ids ascend in log order and each seq is one record (ts 0) of one file. Gives the number of records. Files are moved into place, so a
+    task that runs twice leaves whole ones. The folder must be one that executors and readers share."""
+    os.makedirs(folder, exist_ok=True)
+
+    def write(batches):
+        import itertools
+        import uuid
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
+        name = data_name(TaskContext.get().partitionId())
+        temp, n = os.path.join(folder, f".{name}.{uuid.uuid4().hex}"), 0
+
+        def records():
+            nonlocal n
+            for seq, ops in itertools.groupby(rows, lambda r: r[0]):
+                n += 1
+                ops = list(ops)
+                if any(not k or v is None and not dead for _, _, k, v, dead in ops):
+                    raise ValueError(f"number {seq} has an empty key or a put without a value")
+                yield seq, 0, [(k, None if dead else v) for _, _, k, v, dead in ops]
+
+        with open(temp, "wb") as f:
+            f.write(file_header(1))
+            for seq, ts, ops in records():
+                f.write(encode_record(seq, ts, ops))
+        os.replace(temp, os.path.join(folder, name))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    ordered = log.select("seq", "op_idx", "key", "value", "tombstone").repartitionByRange("seq").sortWithinPartitions("seq", "op_idx")
+    return sum(r["n"] for r in ordered.mapInArrow(write, "n long").collect())
+
+
 def write_old(entries, folder: str, file_id: int = 0, hint=None) -> str:
     """Entries (ts, key, value or None) as one data file of the old format, and its hint if one is given."""
     os.makedirs(folder, exist_ok=True)

@@ -1,11 +1,14 @@
+import os
 import random
 
 import pytest
 
+from kelvane import driver_queries
 from kelvane.functions import keys, stats
 from kelvane.model import UNBOUNDED, Bound, Direction, excluded, included
 from kelvane.operators import access, algebra
 from kelvane.operators import live as lv
+from kelvane.sources import native
 from pyspark.sql import functions as F
 
 
@@ -157,3 +160,27 @@ def test_first_wins_and_compare_and_put(spark):
     tries = spark.createDataFrame([(8, "k", 6), (9, "k", 7), (10, "k", 7), (11, "j", None)], "seq long, key string, expected long")
     assert [r["applied"] for r in algebra.compare_and_put(live, tries).orderBy("seq").collect()] == [False, True, False, False]
     assert [r["applied"] for r in algebra.first_wins(tries).orderBy("seq").collect()] == [True, False, False, True]
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_native_files_hold_all_events(spark):
+    want = {tuple(r) for r in driver_queries.live_e(spark, SF).collect()}
+    got = driver_queries.QUERIES["native_roundtrip"](spark, SF).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and max(r["version"] for r in got) > 2000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_each_row_is_checksummed(spark):
+    df = driver_queries.QUERIES["checksums"](spark, SF)
+    assert "crc32(" in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_native_files_in_log_order(spark, tmp_path):
+    rows = [(n // 3, n % 3, bytearray(b"k%d" % (n % 7)), None if n % 5 == 0 else bytearray(b"v%d" % n), n % 5 == 0) for n in range(3000)]
+    log = spark.createDataFrame(rows, "seq long, op_idx int, key binary, value binary, tombstone boolean").repartition(5)
+    assert native.write_native_frame(log, str(tmp_path)) == 1000
+    got = native.read_native(spark, str(tmp_path)).orderBy("file_id", "offset", "op_idx").collect()
+    assert [(r["seq"], r["op_idx"], r["key"], r["value"], r["tombstone"]) for r in got] == rows
