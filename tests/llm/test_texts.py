@@ -170,6 +170,21 @@ def test_layers_are_unwrapped_to_the_end():
     assert secret_scan.all_spans("plain words, nothing more", []) == []
 
 
+def test_compressed_layers_of_any_depth_and_number():
+    b64 = lambda b: base64.b64encode(b).decode()
+    secret = b"\npassword=hunter2hunter2\n"
+    deep = secret
+    for k in range(20):
+        deep = (zlib.compress, bz2.compress)[k % 2](deep)
+    two = zlib.compress(b"first", wbits=31) + zlib.compress(secret, wbits=31)
+    torn = bz2.compress(b"passw") + bz2.compress(b"ord=hunter2hunter2")
+    for body in (b64(deep), b64(two), b64(torn)):
+        assert secret_scan.all_spans(body, []) == [("assign", 0, len(body))]
+    parts = [b64(zlib.compress(b"%d " % k + b"z " * 400_000 + secret)) for k in range(6)]  # each fits, all six together do not
+    text = " ".join(parts)
+    assert len(secret_scan.all_spans(text, [])) == 6
+
+
 def test_secret_rows(spark, odd):
     got = secret_scan.scan_secrets(odd).collect()
     assert len(got) == 15 and {r["spans"] for r in got} == {""} and {r["n_hex"] for r in got} == {0}
