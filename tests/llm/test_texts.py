@@ -185,6 +185,20 @@ def test_compressed_layers_of_any_depth_and_number():
     assert len(secret_scan.all_spans(text, [])) == 6
 
 
+def test_base64_glued_to_text_or_wrapped():
+    body = base64.b64encode(b"password=hunter22").decode()
+    for before in ("https://x.y/api/", "x", "xy", "xyz", "k_", "some-words-"):
+        spans = secret_scan.all_spans(before + body, [])
+        assert len(spans) == 1 and spans[0][0] == "assign" and spans[0][2] == len(before + body)
+    r = random.Random(4)
+    noise = "".join(r.choice("ghijklmnop .,") for _ in range(900))
+    for raw in ((noise[:41] + " password=hunter2hunter2 " + noise).encode(), zlib.compress((noise + " password=hunter2hunter2 ").encode())):
+        for width, end in ((64, "\n"), (76, "\r\n"), (10, "\n  ")):
+            flat = base64.b64encode(raw).decode()
+            text = "Body" + end + end.join(flat[k:k + width] for k in range(0, len(flat), width)) + end + "Thanks for it"
+            assert [k for k, _, _ in secret_scan.all_spans(text, [])] == ["assign"], (width, end)
+
+
 def test_secret_rows(spark, odd):
     got = secret_scan.scan_secrets(odd).collect()
     assert len(got) == 15 and {r["spans"] for r in got} == {""} and {r["n_hex"] for r in got} == {0}
