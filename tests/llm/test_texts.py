@@ -199,6 +199,17 @@ def test_base64_glued_to_text_or_wrapped():
             assert [k for k, _, _ in secret_scan.all_spans(text, [])] == ["assign"], (width, end)
 
 
+def test_escapes_are_decoded_where_they_stand():
+    found = lambda t: secret_scan.all_spans(t, secret_scan.scan(t))
+    for t, start, end in (("my token\\u003d abcdef123456 x", 3, 27), ('{"password"%3A"hunter22"}', 2, 23), ("?q=caf%E9&password%3Dhunter22 x", 10, 29),
+                          ("a \\x74oken = abc%64ef%2525 b", 2, 21), ("token%25253D%61bcdef", 0, 20), ("t\\u{6f}ken\\u005cu003dabcdef", 0, 27)):
+        assert ("assign", start, end) in found(t), (t, found(t))
+    body = zlib.compress(b"password=hunter2hunter2 " * 3, wbits=31)
+    for quoted in ("".join(f"%{b:02X}" for b in body), urllib.parse.quote(body), "".join(f"\\x{b:02x}" for b in body)):
+        assert found(f"see {quoted} end") == [("assign", 4, 4 + len(quoted))]
+    assert len(found("%" + "25" * 200_000 + "41")) <= 1 and found("\\" + "u005c" * 100_000 + "u0041 token") == []
+
+
 def test_secret_rows(spark, odd):
     got = secret_scan.scan_secrets(odd).collect()
     assert len(got) == 15 and {r["spans"] for r in got} == {""} and {r["n_hex"] for r in got} == {0}
