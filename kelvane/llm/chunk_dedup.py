@@ -8,7 +8,8 @@ words always has a run of whole chunks about as long; single small chunks, and t
 of different chunks, stay below).
 
 The first occurrence of a chunk (smallest document, then position) is the one that stays.
-Null or empty text: no chunks. A repeated id: its rows count as one document's. Null ids are left out.
+Null or empty text: no chunks. A repeated id: its rows count as one document's, and passages are those of each of its
+different texts (told apart by 32 bits of a hash); a row that comes again has its passages reported once. Null ids are left out.
 """
 
 from __future__ import annotations
@@ -62,15 +63,20 @@ def cuts(data: np.ndarray, smallest: int = MIN, mean: int = MEAN, largest: int =
     return out
 
 
-SCHEMA = "doc_id long, start int, len int, words short, digest long"
+SCHEMA = "doc_id long, version int, start int, len int, words short, digest long"
+
+
+def _version(text_col: str):
+    """Tells texts of one id apart."""
+    return F.hash(F.col(text_col).cast("string"))
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smallest: int = MIN, mean: int = MEAN, largest: int = MAX) -> DataFrame:
-    """(doc_id, start, len, words, digest) of every chunk; start and len in bytes of UTF-8."""
+    """(doc_id, version, start, len, words, digest) of every chunk; start and len in bytes of UTF-8."""
     def run(batches):
-        for ids, texts in in_pieces(batches, ["doc_id", "text"], 1_000_000):
-            rows: list[list] = [[], [], [], [], []]
-            for i, t in zip(ids, texts, strict=True):
+        for ids, versions, texts in in_pieces(batches, ["doc_id", "version", "text"], 1_000_000):
+            rows: list[list] = [[], [], [], [], [], []]
+            for i, v, t in zip(ids, versions, texts, strict=True):
                 if i is None or not t:
                     continue
                 raw = t.encode("utf-8", "replace")
@@ -81,14 +87,15 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smal
                 first = np.cumsum(~gap & np.concatenate([[True], gap[:-1]]))
                 upto = first[np.array(ends) - 1]
                 rows[0].append(np.full(len(ends), i, np.int64))
-                rows[1].append(np.array(starts, np.int32))
-                rows[2].append(np.diff(np.array([0, *ends], np.int32)))
-                rows[3].append(np.diff(upto, prepend=0).astype(np.int16))
-                rows[4].append(np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+                rows[1].append(np.full(len(ends), v, np.int32))
+                rows[2].append(np.array(starts, np.int32))
+                rows[3].append(np.diff(np.array([0, *ends], np.int32)))
+                rows[4].append(np.diff(upto, prepend=0).astype(np.int16))
+                rows[5].append(np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], ["doc_id", "start", "len", "words", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], ["doc_id", "version", "start", "len", "words", "digest"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _version(text_col).alias("version"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **sizes) -> DataFrame:
@@ -99,20 +106,27 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     first occurrences. One pre-aggregated shuffle counts digests; chunks then meet the repeated ones
     (a join that adaptive execution may split by size); only those go on to be put in order by document.
     """
+    return _passages(docs, id_col, text_col, min_words, **sizes).drop("version")
+
+
+def _passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **sizes) -> DataFrame:
     all_chunks = chunks(docs, id_col, text_col, **sizes)
-    first = all_chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("f")).where("n > 1").select("digest", "n", F.col("f.doc_id").alias("first_doc"), F.col("f.start").alias("first_start"))
-    met = all_chunks.join(first, "digest").select("doc_id", "start", (F.col("start") + F.col("len")).alias("end"), "words", "n", "first_doc", ((F.col("first_doc") == F.col("doc_id")) & (F.col("first_start") == F.col("start"))).alias("kept"))
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    broken = met.withColumn("new", F.when((F.lag("end").over(order) == F.col("start")) & (F.lag("kept").over(order) == F.col("kept")), 0).otherwise(1))
+    place = ("doc_id", "start", "version")
+    first = all_chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("f")).where("n > 1")
+    met = all_chunks.join(first, "digest").select("doc_id", "version", "start", (F.col("start") + F.col("len")).alias("end"), "words", "n", F.col("f.doc_id").alias("first_doc"), (F.struct(*place) == F.col("f")).alias("kept"))
+    order = Window.partitionBy("doc_id", "version").orderBy("start")
+    # rows that are the same come once
+    once = met.withColumn("again", F.lag("start").over(order) == F.col("start")).where("again is null or not again")
+    broken = once.withColumn("new", F.when((F.lag("end").over(order) == F.col("start")) & (F.lag("kept").over(order) == F.col("kept")), 0).otherwise(1))
     run = broken.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc_id"), F.max("n").alias("n_copies"), F.first("kept").alias("kept"))
-    return out.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "first_doc_id", "n_copies", "kept")
+    out = run.groupBy("doc_id", "version", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc_id"), F.max("n").alias("n_copies"), F.first("kept").alias("kept"))
+    return out.where(F.col("n_words") >= min_words).select("doc_id", "version", "start", "end", "n_words", "first_doc_id", "n_copies", "kept")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the passages that do not stay cut out of the texts; cuts that fall inside a character move to
     its ends. All other columns and rows stay."""
-    gone = passages(docs, id_col, text_col, **options).where("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gone"))
+    gone = _passages(docs, id_col, text_col, **options).where("not kept").groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gone"))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -126,5 +140,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return b"".join([*parts, raw[at:]]).decode("utf-8", "ignore")
         return texts.combine(spans, one)
 
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left")
+    joined = docs.join(gone.withColumnsRenamed({"doc_id": "__id", "version": "__version"}), (F.col(id_col).cast("long") == F.col("__id")) & (_version(text_col) == F.col("__version")), "left")
     return joined.select(*[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(cut(F.col(c), F.col("__gone"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

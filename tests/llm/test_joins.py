@@ -194,3 +194,17 @@ def test_passages(spark):
         texts.setdefault(x["doc_id"], x["text"])
     assert texts[0] == rows[0][1] and texts[100] == rows[40][1] and len(texts[101]) < len(rows[41][1]) - 200 and texts[400] is None
     assert chunk_dedup.passages(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_passages_of_repeated_rows_are_whole(spark):
+    r = random.Random(11)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    long, other, shared = say(5000), say(300), say(400)
+    rows = [(1, long), (1, long), (2, long), (3, other), (4, other), (4, other), (4, other), (5, say(50) + " " + shared), (5, say(90) + " " + shared), (6, say(9) + " " + shared)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = sorted(tuple(x[c] for c in ("doc_id", "start", "end", "kept", "n_copies")) for x in chunk_dedup.passages(docs).collect())
+    whole = lambda i, t, kept, n: (i, 0, len(t), kept, n)
+    assert [g for g in got if g[0] < 5] == [whole(1, long, True, 3), whole(2, long, False, 3), whole(3, other, True, 4), whole(4, other, False, 4)]
+    assert sum(e - s > len(shared) - 200 for i, s, e, _, _ in got if i == 5) == 2 and [k for i, _, _, k, _ in got if i == 5].count(True) == 1
+    left = [x["text"] for x in chunk_dedup.without_repeats(docs).collect()]
+    assert sorted(len(t) for t in left)[:4] == [0, 0, 0, 0] and left.count(long) == 2 and left.count(rows[7][1]) == 1
