@@ -3,7 +3,8 @@
 A text's UTF-8 is cut where the gear hash of the last 16 bytes falls under a threshold, so cuts depend on
 the bytes nearby alone and an insertion shifts none but its own. Chunks have MIN to MAX bytes, MEAN more
 than MIN on average. A chunk's digest is 64 bits of XXH3. Digests that occur more than once are joined back;
-neighbouring repeated chunks become passages, reported from MIN_WORDS words on (a repeated passage of 50
+neighbouring repeated chunks become passages, reported if they have MIN_WORDS words, or BYTES_A_WORD bytes for each of so many (scripts
+without spaces), or are their whole text (a repeated passage of 50
 words always has a run of whole chunks about as long; single small chunks, and the rare equal digests
 of different chunks, stay below).
 
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import in_pieces
 
 MIN, MEAN, MAX = 8, 24, 128
-MIN_WORDS = 16
+MIN_WORDS, BYTES_A_WORD = 16, 8
 
 
 def _gear() -> np.ndarray:
@@ -63,7 +64,7 @@ def cuts(data: np.ndarray, smallest: int = MIN, mean: int = MEAN, largest: int =
     return out
 
 
-SCHEMA = "doc_id long, version int, start int, len int, words short, digest long"
+SCHEMA = "doc_id long, version int, start int, len int, words short, last boolean, digest long"
 
 
 def _version(text_col: str):
@@ -72,10 +73,10 @@ def _version(text_col: str):
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smallest: int = MIN, mean: int = MEAN, largest: int = MAX) -> DataFrame:
-    """(doc_id, version, start, len, words, digest) of every chunk; start and len in bytes of UTF-8."""
+    """(doc_id, version, start, len, words, last, digest) of every chunk; start and len in bytes of UTF-8."""
     def run(batches):
         for ids, versions, texts in in_pieces(batches, ["doc_id", "version", "text"], 1_000_000):
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for i, v, t in zip(ids, versions, texts, strict=True):
                 if i is None or not t:
                     continue
@@ -91,9 +92,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smal
                 rows[2].append(np.array(starts, np.int32))
                 rows[3].append(np.diff(np.array([0, *ends], np.int32)))
                 rows[4].append(np.diff(upto, prepend=0).astype(np.int16))
-                rows[5].append(np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+                rows[5].append(np.arange(len(ends)) == len(ends) - 1)
+                rows[6].append(np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], ["doc_id", "version", "start", "len", "words", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], ["doc_id", "version", "start", "len", "words", "last", "digest"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), _version(text_col).alias("version"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -113,14 +115,15 @@ def _passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     all_chunks = chunks(docs, id_col, text_col, **sizes)
     place = ("doc_id", "start", "version")
     first = all_chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("f")).where("n > 1")
-    met = all_chunks.join(first, "digest").select("doc_id", "version", "start", (F.col("start") + F.col("len")).alias("end"), "words", "n", F.col("f.doc_id").alias("first_doc"), (F.struct(*place) == F.col("f")).alias("kept"))
+    met = all_chunks.join(first, "digest").select("doc_id", "version", "start", (F.col("start") + F.col("len")).alias("end"), "words", "last", "n", F.col("f.doc_id").alias("first_doc"), (F.struct(*place) == F.col("f")).alias("kept"))
     order = Window.partitionBy("doc_id", "version").orderBy("start")
     # rows that are the same come once
     once = met.withColumn("again", F.lag("start").over(order) == F.col("start")).where("again is null or not again")
     broken = once.withColumn("new", F.when((F.lag("end").over(order) == F.col("start")) & (F.lag("kept").over(order) == F.col("kept")), 0).otherwise(1))
     run = broken.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = run.groupBy("doc_id", "version", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc_id"), F.max("n").alias("n_copies"), F.first("kept").alias("kept"))
-    return out.where(F.col("n_words") >= min_words).select("doc_id", "version", "start", "end", "n_words", "first_doc_id", "n_copies", "kept")
+    out = run.groupBy("doc_id", "version", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.max("last").alias("last"), F.min("first_doc").alias("first_doc_id"), F.max("n").alias("n_copies"), F.first("kept").alias("kept"))
+    enough = (F.col("n_words") >= min_words) | (F.col("end") - F.col("start") >= min_words * BYTES_A_WORD) | ((F.col("start") == 0) & F.col("last"))
+    return out.where(enough).select("doc_id", "version", "start", "end", "n_words", "first_doc_id", "n_copies", "kept")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -208,3 +208,12 @@ def test_passages_of_repeated_rows_are_whole(spark):
     assert sum(e - s > len(shared) - 200 for i, s, e, _, _ in got if i == 5) == 2 and [k for i, _, _, k, _ in got if i == 5].count(True) == 1
     left = [x["text"] for x in chunk_dedup.without_repeats(docs).collect()]
     assert sorted(len(t) for t in left)[:4] == [0, 0, 0, 0] and left.count(long) == 2 and left.count(rows[7][1]) == 1
+
+
+def test_passages_without_spaces_and_short_copies(spark):
+    r = random.Random(12)
+    thai = "".join(chr(r.randrange(0xE01, 0xE2F)) for _ in range(400))
+    token = "".join(r.choice("abcdefghijklmnop0123456789") for _ in range(3000))
+    rows = [(1, thai), (2, thai), (3, token), (4, token), (5, "a short note"), (6, "a short note"), (7, "ok"), (8, "ok"), (9, "not again")]
+    got = {(x["doc_id"], x["start"], x["end"], x["kept"]) for x in chunk_dedup.passages(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()}
+    assert got == {(i, 0, len(t.encode()), i % 2 == 1) for i, t in rows if i < 9}
