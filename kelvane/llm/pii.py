@@ -4,11 +4,11 @@ The network is trained in numpy from labelled spans (`fit`); without given ones,
 generator writes sentences with surface forms that the patterns miss (spaced or dotted cards, phones
 without a plus sign, spaced mail addresses, spaced dotted quads). A text is cut in overlapping windows
 of WINDOW code points that start every STEP; each is decoded by Viterbi, and the spans of all windows
-are reconciled over the whole text: those cut by a window's edge give way to the window that holds
-them whole, then the better score wins, then the earlier start.
+are reconciled over the whole text: those that a window holds whole go before those joined from parts that
+neighbouring windows cut, then the better score wins, then the earlier start.
 
 Every kind needs a digit or an @, so a window that has neither can yield no span: such windows
-are not scored, which changes no result (the decoder drops spans without one). Proposed spans
+are not scored, unless the window beside them cuts a span, which changes no result (the decoder drops spans without one). Proposed spans
 must also satisfy their kind's own rule (digit counts, Luhn, parts of at most 255, one @) and may not
 touch a base span. Null or empty text: no spans.
 """
@@ -329,35 +329,65 @@ def _alone(text: str, a: int, b: int) -> bool:
 
 
 def proposals(net: Tagger, texts: list[str], chunk: int = 512):
-    """Reconciled spans of the network for each text."""
-    where, codes = [], []
+    """Reconciled spans of the network for each text. Parts that neighbouring windows cut at their edges are joined;
+    spans that one window holds go before those."""
+    where, codes, known = [], [], set()
+
+    def add(k: int, w: int):
+        if (k, w) in known:
+            return
+        known.add((k, w))
+        row = np.zeros(WINDOW, np.uint32)
+        part = np.frombuffer(texts[k][w * STEP:w * STEP + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)
+        row[:len(part)] = part
+        where.append((k, w))
+        codes.append(row)
+
     for k, t in enumerate(texts):
         last = -1
         for m in TRIGGER.finditer(t):
             for w in range(max(last + 1, (m.start() - WINDOW) // STEP + 1, 0), m.start() // STEP + 1):
-                row = np.zeros(WINDOW, np.uint32)
-                part = np.frombuffer(t[w * STEP:w * STEP + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)
-                row[:len(part)] = part
-                where.append((k, w * STEP))
-                codes.append(row)
+                add(k, w)
                 last = w
     found: list[list] = [[] for _ in texts]
-    for i in range(0, len(codes), chunk):
-        cls = classes_of(np.array(codes[i:i + chunk], np.int64))
-        tags, em = net.decode(cls)
+    lefts, rights, i = {}, {}, 0  # parts that a window cuts there; windows beside them are scored too
+    while i < len(codes):
+        rows = codes[i:i + chunk]
+        tags, em = net.decode(classes_of(np.array(rows, np.int64)))
         lead = np.take_along_axis(em, tags[:, :, None], 2)[:, :, 0] - em.mean(2)
-        for r, j in zip(*np.nonzero((tags % 2 == 1)), strict=True):
-            kind, e = tags[r, j], j + 1
+        begins = tags % 2 == 1
+        begins[:, 0] |= tags[:, 0] > 0
+        for r, j in zip(*np.nonzero(begins), strict=True):
+            kind, e = tags[r, j] - 1 + tags[r, j] % 2, j + 1
             while e < WINDOW and tags[r, e] == kind + 1:
                 e += 1
-            k, start = where[i + r]
-            cut = (j < EDGE and start > 0) or (e > WINDOW - EDGE and start + WINDOW < len(texts[k]))
-            if not cut:
-                found[k].append((-round(float(lead[r, j:e].mean()), 3), start + int(j), min(start + int(e), len(texts[k])), KINDS[(kind - 1) // 2]))
+            k, w = where[i + r]
+            start = w * STEP
+            left, right = j < EDGE and start > 0, e > WINDOW - EDGE and start + WINDOW < len(texts[k])
+            part = float(lead[r, j:e].mean()), start + int(j), min(start + int(e), len(texts[k]))
+            if not left and not right:
+                if tags[r, j] % 2:
+                    found[k].append((False, -round(part[0], 3), *part[1:], KINDS[(kind - 1) // 2]))
+                continue
+            if left:
+                lefts[k, w, kind] = (*part, right)
+                add(k, w - 1)
+            if right:
+                if not left:
+                    rights[k, w, kind] = part
+                add(k, w + 1)
+        i += len(rows)
+    for (k, w, kind), (score, a, b) in rights.items():
+        leads, on = [score], True
+        while on and (more := lefts.get((k, w + 1, kind))) and a <= more[1] <= b:
+            leads.append(more[0])
+            w, b, on = w + 1, more[2], more[3]
+        if not on:
+            found[k].append((True, -round(sum(leads) / len(leads), 3), a, b, KINDS[(kind - 1) // 2]))
     out = []
     for k, t in enumerate(texts):
         kept: list[tuple[int, int, str]] = []
-        for _, a, b, kind in sorted(set(found[k])):
+        for _, _, a, b, kind in sorted(set(found[k])):
             while b > a and t[b - 1].isspace():
                 b -= 1
             while a < b and t[a].isspace():

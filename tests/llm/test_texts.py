@@ -107,6 +107,24 @@ def test_windows_without_a_digit_or_at_yield_nothing(monkeypatch):
     assert [[s for s in p if keep.search(t[s[1]:s[2]])] for p, t in zip(without, texts, strict=True)] == with_gate
 
 
+@pytest.mark.parametrize("inside", [1, 2])
+def test_spans_longer_than_windows_are_joined(inside):
+    class Sure:
+        def decode(self, cls):
+            other = [pii.classes_of(np.array([c]))[0] for c in (0, ord("#"))]
+            on = ~np.isin(cls, other)
+            tags = np.where(on, 2, 0)
+            tags[:, 1:][on[:, 1:] & ~on[:, :-1]] = 1
+            tags[:, 0] = np.where(on[:, 0], inside, 0)
+            return tags, np.zeros((*cls.shape, pii.TAGS))
+
+    for size in (20, 46, 91, 95, 130, 400):
+        mail = "j " + "o" * (size - 12) + " @ a.bcde"
+        for before in range(3, 103, 7):
+            text = "#" * before + mail + "#" * 150
+            assert pii.proposals(Sure(), [text, "", text]) == [[("email", before, before + len(mail))], [], [("email", before, before + len(mail))]], (size, before)
+
+
 def test_gradients_of_the_network():
     net, r = pii.Tagger(3), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
