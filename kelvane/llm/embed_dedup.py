@@ -3,32 +3,36 @@
 Unit vectors are rotated by a fixed random orthogonal matrix and split into blocks of BLOCK dimensions.
 If two vectors are within squared distance D = 2 - 2 * cosine, then in at least one block their squared
 distance is at most that block's share of D (the shares are in proportion to the block's dimensions and sum
-to D). So each block is range-joined alone: its first coordinate is cut in slabs as wide as the
-block's radius, a vector is held in its own slab and shown to the next, and the pairs that meet there are
+to D). So each block is range-joined alone: its first coordinate is cut in slabs, rows of a slab are sorted by the second,
+and a run of rows meets, in the slabs within reach, the window of the second coordinate within reach; the pairs that meet are
 tested on the whole block. Candidates are the union over blocks; a pair is verified, by cosine of the
 original vectors in double precision, in the first block that proposes it, so it is counted once.
 
-Equal vectors of a label are one class (a member count, the smallest id), so copies are never paired. A
-slab with many rows is dealt in parts, and every two parts meet in a group of their own: no group holds
-more than 2 * PART rows, whatever the skew. The number of parts follows counts, which are pre-aggregated.
+Vectors of a label are dealt in parts of PART rows (fewer if they have more than 64 dimensions), and every two parts meet in a
+group of their own, which joins all blocks: a vector travels once to each group and not once for each block. Links are counted where they are
+found; what leaves a group is a row for each linked vector, with its count and the smallest vector its links reach in the group, and
+no pairs. Equal vectors of a label are one class (a member count, the smallest id), so copies are never paired.
 
-Only equal, non-null labels are compared. Vectors that are null, empty, zero or hold null or non-finite
+A vector travels n / PART times for n different vectors of its label: for a block's radius (0.13 of a unit vector of 64 dimensions, against a
+spread of 0.12 in each coordinate) grids over coordinates would take more copies than that to spare the same tests.
+
+Only equal, non-null labels are compared, in their own type. Vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, nor do vectors of different lengths. A null id: the row is kept, alone. Repeated
-ids count as vectors of their own, but share a component.
+ids count as vectors of their own, but share a component. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import components, staged
 
-COSINE, BLOCK, PART, SEED = 0.93, 8, 1500, 5
+COSINE, BLOCK, PART, SEED = 0.93, 8, 8192, 5
+RUN = 64
 SLACK = 1e-9
 
 
@@ -47,96 +51,146 @@ def _blocks(dim: int) -> list[slice]:
     return [slice(a, min(a + BLOCK, dim)) for a in range(0, dim, BLOCK)]
 
 
+def linked(v: np.ndarray, side: np.ndarray, cosine: float = COSINE, tests: list[int] | None = None):
+    """(i, j) arrays of linked pairs of the unit vectors v, each pair once. side: if it has two values, only pairs across them.
+    tests: gets how many pairs each block was tested on."""
+    n, dim = v.shape
+    rot, blocks = v @ rotation(dim), _blocks(dim)
+    square = [(2 - 2 * cosine) * (b.stop - b.start) / dim + SLACK for b in blocks]
+    across = len(np.unique(side)) > 1
+    for k, block in enumerate(blocks):
+        x, r = rot[:, block], square[k] ** 0.5
+        second = x[:, 1] if x.shape[1] > 1 else np.zeros(n)
+        slab = np.floor(x[:, 0] / (r / 2)).astype(np.int64)
+        order = np.lexsort((second, slab))
+        x, slab, second, which = x[order], slab[order], second[order], side[order]
+        norm = (x ** 2).sum(1)
+        begin = {int(s): (int(a), int(b)) for s, a, b in zip(*_runs(slab), strict=True)}
+        tested = 0
+        for s, (a, b) in begin.items():
+            for lo in range(a, b, RUN):
+                hi = min(lo + RUN, b)
+                for t in (s, s + 1, s + 2):
+                    if t not in begin:
+                        continue
+                    ta, tb = begin[t]
+                    p = lo if t == s else ta + int(np.searchsorted(second[ta:tb], second[lo] - r))
+                    q = ta + int(np.searchsorted(second[ta:tb], second[hi - 1] + r, "right"))
+                    if p >= q:
+                        continue
+                    tested += (hi - lo) * (q - p)
+                    ok = norm[lo:hi, None] + norm[p:q] - 2 * (x[lo:hi] @ x[p:q].T) <= square[k]
+                    if t == s:
+                        ok &= np.arange(lo, hi)[:, None] < np.arange(p, q)
+                    if across:
+                        ok &= which[lo:hi, None] != which[p:q]
+                    i, j = np.nonzero(ok)
+                    i, j = order[i + lo], order[j + p]
+                    for e in range(k):  # an earlier block that proposes the pair counts it
+                        new = ((rot[i, blocks[e]] - rot[j, blocks[e]]) ** 2).sum(1) > square[e] - SLACK
+                        i, j = i[new], j[new]
+                    keep = ((rot[i, block] - rot[j, block]) ** 2).sum(1) <= square[k] - SLACK
+                    i, j = i[keep], j[keep]
+                    keep = np.einsum("ij,ij->i", v[i], v[j]) >= cosine
+                    if keep.any():
+                        yield i[keep], j[keep]
+        if tests is not None:
+            tests.append(tested)
+
+
+def _runs(keys: np.ndarray):
+    """(key, start, end) of the runs of sorted keys."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[start], start, np.concatenate([start[1:], [len(keys)]])
+
+
+def _meetings(classes: DataFrame):
+    """classes dealt so that every two vectors of a label and length meet in one group (label, dim, g1, g2)."""
+    rows = classes.withColumn("dim", F.size("v"))
+    counts = staged(rows.groupBy("label", "dim").agg(F.count("*").alias("n_rows")).where("n_rows > 1").withColumn("parts", F.ceil(F.col("n_rows") * F.greatest("dim", F.lit(64)) / (64 * PART)).cast("int")).drop("n_rows"), "label-counts")
+    parted = rows.join(counts, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    dealt = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"g1": F.least("part", "other"), "g2": F.greatest("part", "other")}).drop("parts", "other").groupBy("label", "dim", "g1", "g2")
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    v = table.column("v").combine_chunks()
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return _unit(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1))
+
+
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Linked pairs of classes (a, b), a < b, each once; classes: (cid, label, v array<double>)."""
-    budget = 2 - 2 * cosine
-
-    def radius(block: slice, dim: int) -> float:
-        return (budget * (block.stop - block.start) / dim) ** 0.5 + SLACK
-
-    slabs = "label long, dim int, block int, slab long, shown boolean, cid long"
-
-    def place(batches):
-        for batch in batches:
-            label, cid, v = (batch.column(k) for k in range(3))
-            sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                rot = _unit(np.array(v.take(pa.array(at)).to_pylist(), np.float64)) @ rotation(int(dim))
-                lab, ids = label.take(pa.array(at)), cid.take(pa.array(at))
-                for k, block in enumerate(_blocks(int(dim))):
-                    slab = np.floor(rot[:, block.start] / radius(block, dim)).astype(np.int64)
-                    for shown in (False, True):
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays([lab, pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(slab + shown), pa.array(np.full(n, shown)), ids], ["label", "dim", "block", "slab", "shown", "cid"])
-
-    placed = staged(classes.select("label", "cid", "v").mapInArrow(place, slabs), "slabs")
-    keys = ["label", "dim", "block", "slab"]
-    # parts of each slab, from counts; a slab that holds no row of its own has nothing to join
-    counts = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("shown"), 0).otherwise(1)).alias("own")).where("own > 0 and n > 1").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).drop("n", "own")
-    parted = placed.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    # part i meets part j in the group (min, max)
-    dealt = parted.select(*keys, "shown", "cid", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select(*keys, F.least("part", "other").alias("g1"), F.greatest("part", "other").alias("g2"), "part", "shown", "cid")
-    full = dealt.join(classes.select("cid", "v"), "cid")
-
-    def meet(pdf):
-        import pandas as pd
-
-        if not len(pdf):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        v = _unit(np.array(pdf["v"].tolist(), np.float64))
-        dim, k = v.shape[1], int(pdf["block"].iloc[0])
-        rot = v @ rotation(dim)
-        g1, g2 = int(pdf["g1"].iloc[0]), int(pdf["g2"].iloc[0])
-        own, part, cid = ~pdf["shown"].to_numpy(bool), pdf["part"].to_numpy(), pdf["cid"].to_numpy()
-        out = []
-        at = np.flatnonzero(own)
-        blocks = _blocks(dim)
-        square = (rot[:, blocks[k]] ** 2).sum(1)
-        for i in range(0, len(at), 256):
-            x = at[i:i + 256]
-            ok = cid[x][:, None] != cid[None, :]
-            if g1 != g2:
-                ok &= part[x][:, None] != part[None, :]
-            # two rows that are both in their own slab meet twice; the smaller id asks
-            ok &= ~own[None, :] | (cid[x][:, None] < cid[None, :])
-            b = blocks[k]
-            ok &= square[x][:, None] + square[None, :] - 2 * (rot[x, b] @ rot[:, b].T) <= radius(b, dim) ** 2 + SLACK
-            if not ok.any():
-                continue
-            r, c = np.nonzero(ok)
-            d = rot[x[r]] - rot[c]
-            for j in range(k + 1):  # this block must propose the pair; an earlier one that does counts it
-                near = (d[:, blocks[j]] ** 2).sum(1) <= radius(blocks[j], dim) ** 2
-                keep = near if j == k else ~near
-                r, c, d = r[keep], c[keep], d[keep]
-            keep = np.einsum("ij,ij->i", v[x[r]], v[c]) >= cosine
-            out.append(np.stack([cid[x[r[keep]]], cid[c[keep]]], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)} if len(pairs) else {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    return full.groupBy(*keys, "g1", "g2").applyInPandas(meet, "a long, b long")
+    def meet(table):
+        cid, side = table.column("cid").to_numpy(), table.column("part").to_numpy()
+        pairs = [np.stack([cid[i], cid[j]], 1) for i, j in linked(_vectors(table), side, cosine)]
+        both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        return pa.table({"a": both.min(1), "b": both.max(1)}) if len(both) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    return _meetings(classes).applyInArrow(meet, "a long, b long")
+
+
+def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels of components (the smallest row in each), after the links i, j."""
+    a, b = root[i], root[j]
+    new = a != b
+    if not new.any():
+        return root
+    up: dict[int, int] = {}
+
+    def find(x):
+        while x in up:
+            x = up[x]
+        return x
+    for x, y in np.unique(np.stack([np.minimum(a[new], b[new]), np.maximum(a[new], b[new])], 1), axis=0).tolist():
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    to = np.arange(len(root))
+    for x in up:
+        to[x] = find(x)
+    return to[root]
+
+
+def link_counts(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(cid, more, least, root), some rows for each linked class: more sums up to the members of the classes that it is linked with; the
+    rows' edges from least to root tie what links tie. classes: (cid, least, n, label, v)."""
+    def meet(table):
+        n, side = table.column("n").to_numpy(), table.column("part").to_numpy()
+        least = table.column("least").to_numpy()
+        order = np.argsort(least, kind="stable")  # row numbers in the order of ids
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        more, root = np.zeros(len(n), np.int64), np.arange(len(n))
+        for i, j in linked(_vectors(table), side, cosine):
+            more += np.bincount(i, n[j], len(n)).astype(np.int64) + np.bincount(j, n[i], len(n)).astype(np.int64)
+            root = _merge(root, place[i], place[j])
+        at = np.flatnonzero(more)
+        return pa.table({"cid": table.column("cid").to_numpy()[at], "more": more[at], "least": least[at], "root": least[order[root[place[at]]]]})
+
+    return _meetings(classes).applyInArrow(meet, "cid long, more long, least long, root long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors."""
-    v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), v.alias("v"))
+    v = F.col(vector_col) if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = staged(rows.withColumn("ok", usable).withColumn("digest", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))), "vectors")
     good = rows.where("ok")
-    groups = good.groupBy("label", "digest").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"), F.min("v").alias("v"))
+    groups = good.groupBy("label", "digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min("v").alias("v"))
     # a repeated id may stand for several classes; each class needs a number of its own for the join
-    again = F.row_number().over(Window.partitionBy("cid").orderBy("label", "digest"))
-    numbered = staged(groups.withColumn("class", F.when(again == 1, F.col("cid")).otherwise(F.xxhash64("label", "digest"))), "numbered")
-    pairs = staged(links(numbered.select(F.col("class").alias("cid"), "label", "v"), cosine), "links")
-    size = numbered.select("class", "n", F.col("cid").alias("least"))
-    half = pairs.join(size.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("least").alias("lb")), "b").join(size.select(F.col("class").alias("a"), F.col("n").alias("k"), F.col("least").alias("la")), "a")
-    both = half.select(F.col("a").alias("class"), F.col("m").alias("more")).unionByName(half.select(F.col("b").alias("class"), F.col("k").alias("more"))).groupBy("class").agg(F.sum("more").alias("more"))
-    comp = components(half.select(F.col("la").alias("a"), F.col("lb").alias("b")), "embeddings")
-    per = numbered.join(both, "class", "left").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("label", "digest", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    out = rows.select("vec_id", "label", "digest").join(per, ["label", "digest"], "left")
+    again = F.row_number().over(Window.partitionBy("least").orderBy("label", "digest"))
+    numbered = staged(groups.withColumn("cid", F.when(again == 1, F.col("least")).otherwise(F.xxhash64("label", "digest"))), "numbered")
+    found = staged(link_counts(numbered, cosine), "links")
+    both = found.groupBy("cid").agg(F.sum("more").alias("more"))
+    # an id with several vectors ties their classes
+    several = good.groupBy("vec_id").agg(F.min(F.xxhash64("label", "digest")).alias("x"), F.max(F.xxhash64("label", "digest")).alias("y")).where("x <> y").select("vec_id")
+    tied = good.select("vec_id", "label", "digest").join(several, "vec_id", "left_semi").join(numbered.select("label", "digest", "least"), ["label", "digest"]).select(F.col("vec_id").alias("a"), F.col("least").alias("b"))
+    comp = components(found.select(F.col("least").alias("a"), F.col("root").alias("b")).unionByName(tied).where("a <> b").distinct(), "embeddings")
+    per = numbered.join(both, "cid", "left").join(comp.withColumnRenamed("id", "least"), "least", "left").select("label", "digest", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
+    # staged, so that adaptive execution may split the join at a class of many copies
+    out = rows.select("vec_id", "label", "digest").join(staged(per, "reached"), ["label", "digest"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

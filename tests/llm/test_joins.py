@@ -217,3 +217,106 @@ def test_passages_without_spaces_and_short_copies(spark):
     rows = [(1, thai), (2, thai), (3, token), (4, token), (5, "a short note"), (6, "a short note"), (7, "ok"), (8, "ok"), (9, "not again")]
     got = {(x["doc_id"], x["start"], x["end"], x["kept"]) for x in chunk_dedup.passages(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()}
     assert got == {(i, 0, len(t.encode()), i % 2 == 1) for i, t in rows if i < 9}
+
+
+def plain_passages(rows):
+    """The passages by dictionaries, one chunk after another."""
+    at = {}
+    texts = sorted({(i, t.encode()) for i, t in rows if i is not None and t})
+    cut = {x: list(zip([0, *(e := chunk_dedup.cuts(np.frombuffer(x[1], np.uint8)))], e)) for x in texts}
+    for i, t in rows:
+        if i is not None and t:
+            for a, b in cut[i, t.encode()]:
+                at.setdefault(t.encode()[a:b], []).append((i, a))
+    out = []
+    for i, t in texts:
+        run = []
+        for a, b in [*cut[i, t], (None, None)]:
+            held = a is not None and len(at[t[a:b]]) > 1
+            first = held and min(at[t[a:b]])
+            if run and (not held or (first == (i, a)) != run[0][2]):
+                start, end = run[0][0], run[-1][1]
+                # words that begin in the passage, the same way as for one chunk: at its start, or after a gap
+                n = sum(1 for k in range(start, end) if t[k:k + 1] not in b" \n\t\r" and (k == 0 or t[k - 1:k] in b" \n\t\r"))
+                if n >= chunk_dedup.MIN_WORDS or end - start >= chunk_dedup.MIN_WORDS * chunk_dedup.BYTES_A_WORD or (start, end) == (0, len(t)):
+                    out.append((i, start, end, n, min(x[3] for x in run), max(x[4] for x in run), run[0][2]))
+                run = []
+            if held:
+                run.append((a, b, first == (i, a), first[0], len(at[t[a:b]])))
+    return sorted(out)
+
+
+def test_passages_by_brute_force(spark):
+    r = random.Random(21)
+    say = lambda n: " ".join("".join(r.choice("abcdefghé\u0e01") for _ in range(r.randrange(1, 12))) for _ in range(n))
+    shared = [say(n) for n in (20, 35, 60, 200)]
+    rows = []
+    for k in range(60):
+        t = say(r.randrange(60))
+        for _ in range(r.randrange(3)):
+            t += r.choice([" ", "\n", ""]) + r.choice(shared) + " " + say(r.randrange(30))
+        rows.append((k // 2 * 2 if k % 10 == 0 else k, t))
+    rows += [rows[5], rows[5], (500, rows[7][1]), (None, rows[7][1]), (501, None), (502, "")]
+    got = chunk_dedup.passages(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()
+    assert sorted(tuple(x[c] for c in ("doc_id", "start", "end", "n_words", "first_doc_id", "n_copies", "kept")) for x in got) == plain_passages(rows)
+
+
+def test_recall_of_short_passages():
+    """Pairs of texts that share exactly n words: in how many a run of shared chunks is long enough to be reported."""
+    r = random.Random(22)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvw") for _ in range(r.randrange(2, 10))) for _ in range(n))
+    found = {}
+    for n in (17, 25, 35, 51):
+        hits = 0
+        for _ in range(200):
+            passage = say(n)
+            parts = []
+            for _ in range(2):
+                t = f"{say(30)} {passage} {say(30)}".encode()
+                e = chunk_dedup.cuts(np.frombuffer(t, np.uint8))
+                parts.append([t[a:b] for a, b in zip([0, *e], e)])
+            run, best, other = b"", 0, set(parts[1])
+            for c in [*parts[0], b""]:
+                if c and c in other:
+                    run += c
+                else:
+                    best, run = max(best, len(run) if len(run) >= chunk_dedup.MIN_WORDS * chunk_dedup.BYTES_A_WORD or run.count(b" ") >= chunk_dedup.MIN_WORDS else 0), b""
+            hits += best > 0
+        found[n] = hits / 200
+    assert found[51] >= 0.98 and found[17] <= found[25] <= found[35] <= found[51], found
+    print(found)
+
+
+def test_blocks_test_few_pairs():
+    """Pairs that a block is tested on, of all pairs and blocks: the slabs and windows leave out most."""
+    r = np.random.default_rng(8)
+    v = embed_dedup._unit(r.standard_normal((3000, 64)))
+    tests: list[int] = []
+    assert not list(embed_dedup.linked(v, np.zeros(3000, int), tests=tests))
+    assert len(tests) == 8 and sum(tests) / (3000 * 2999 / 2) < 4, sum(tests) / (3000 * 2999 / 2)
+
+
+def test_labels_are_compared_in_their_own_type(spark):
+    rows = [(1, [1.0, 0.0], 1.2, "a"), (2, [1.0, 0.0], 1.7, "b"), (3, [1.0, 0.0], 1.2, "b"), (4, [0.99, 0.01], 1.7, "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label double, name string")
+    got = lambda label: sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(df, label_col=label).collect())
+    assert got("label") == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False), (4, 1, 2, False)]
+    assert got("name") == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 2, False), (4, 1, 1, False)]
+
+
+def test_counts_and_spanning_links_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "PART", 30)
+    rows = vectors(5, 120)
+    classes = spark.createDataFrame([(k, 2000 - k, 1 + k % 3, "l%d" % (k % 2), [float(x) for x in v]) for k, v in enumerate(rows)], "cid long, least long, n long, label string, v array<double>")
+    pairs = [tuple(r) for r in embed_dedup.links(classes).collect()]
+    more = {}
+    for a, b in pairs:
+        more[a], more[b] = more.get(a, 0) + 1 + b % 3, more.get(b, 0) + 1 + a % 3
+    found = embed_dedup.link_counts(classes).collect()
+    got = {}
+    for x in found:
+        got[x["cid"]] = got.get(x["cid"], 0) + x["more"]
+        assert x["least"] == 2000 - x["cid"]
+    assert got == more
+    ids = [2000 - k for k in range(len(rows))]
+    assert roots(ids, [(x["least"], x["root"]) for x in found]) == roots(ids, [(2000 - a, 2000 - b) for a, b in pairs])
