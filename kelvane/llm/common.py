@@ -54,14 +54,14 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that links reach, for every id in edges (a, b: longs).
 
     Large-star and small-star rounds (Kiveris et al. 2014) on staged tables until the edges no
-    longer change. Each round pre-aggregates per node, so a hub costs one shuffle row per map task
-    on the side that is grouped. Empty edges give an empty result; self links and repeats are fine.
+    longer change. Each round pre-aggregates per node and joins what comes out, staged, with the edges. Empty edges give an empty result; self links and repeats are fine.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:
             both = both.where("b <= a")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # staged, so that the join is of two plain tables and adaptive execution may split a hub
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least")
         joined = both.join(least, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

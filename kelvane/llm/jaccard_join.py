@@ -17,10 +17,15 @@ connected need no comparison. What is left, members of different components in n
 d, meets in blocks of at most 2 * PART documents. So every list is exhausted, no group grows with a list, and
 a large group of near copies costs as many comparisons as it has members, not pairs.
 
-Counts behind the order cover all documents: they are kept for buckets of shingle hashes (a fixed
-number, whatever the input), so they bound from above; the order is total in any case and
-results do not depend on it. Text: A-Z lower-cased, words split by space and \\t to \\r. Null or empty text and text
-without words: an empty set, linked with nothing. Sets are compared by 64-bit shingle hashes.
+The order: a shingle comes first whose rarest word is in the fewest documents, then by its other words, then by
+hash. Words, not shingles, are counted: a fixed number of buckets of word hashes tells rare words from common ones at any size of the
+corpus, where buckets of shingles would all fill up alike. Counts cover all documents; the order is total in any case and
+results do not depend on it. Lists are split by bands of sizes, as sets that link have sizes in one band or in two neighbouring ones.
+
+Texts are read twice, and a third time for candidates. What moves is a row of two longs for each entry of a list; an equal set
+is listed once a task. Text: A-Z lower-cased, words split by space and \\t to \\r. Null or empty text and text
+without words: an empty set, linked with nothing. A null id: its row stays, with a null component, and links with nothing. A
+repeated id is one document with several texts. Extra columns are not read. Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import components, in_pieces, staged
 
-SHINGLE, PERCENT, BUCKETS = 3, 90, 1 << 20
+SHINGLE, PERCENT, BUCKETS, SLICES = 3, 90, 1 << 20, 256
 LIGHT_SIZES = range(4, 21)
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _GAPS = bytes(1 if b in b" \t\n\x0b\x0c\r" else 0 for b in range(256))
@@ -65,8 +70,8 @@ def _powers(n: int) -> np.ndarray:
     return have[:n]
 
 
-def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the word shingles, ascending (uint64)."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words, in their order (uint64)."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER)
     data = np.frombuffer(raw, np.uint8)
     gap = np.frombuffer(raw.translate(_GAPS), np.uint8) == 1
@@ -79,45 +84,85 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     at = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
     vals = (data.astype(np.uint64) + np.uint64(1)) * _powers(int(at.max()) + 1)[at]
     vals[gap] = 0
-    words = _mix(np.add.reduceat(vals, starts) + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return _mix(np.add.reduceat(vals, starts) + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def _joined(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles in their order: of `width` words, or of all if there are fewer."""
     k = min(width, len(words))
-    h = np.full(len(words) - k + 1, k, np.uint64)
+    h = np.full(len(words) - k + 1 if k else 0, k, np.uint64)
     for i in range(k):
         h = _mix(h * np.uint64(0xE7037ED1A0B428DB) + words[i:len(words) - k + 1 + i])
-    return np.unique(h)
+    return h
 
 
-def _ranked(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set in the global order: by the count of its shingles' buckets, then by hash."""
-    return s[np.lexsort((s, counts[(s >> np.uint64(44)).astype(np.intp)]))]
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the word shingles, ascending (uint64)."""
+    return np.unique(_joined(word_hashes(text), width))
+
+
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(44)).astype(np.intp)
+
+
+def _ranked(words: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """The set of a text in the global order: by the count of the rarest word, by the product of all counts, by hash."""
+    s, at = np.unique(_joined(words, width), return_index=True)
+    k = min(width, len(words))
+    logs = np.log(np.maximum(counts[_bucket(words)], 1).astype(np.float32))
+    windows = np.lib.stride_tricks.sliding_window_view(logs, k)
+    # sums in one order of the counts: the same shingle has the same sum anywhere
+    return s[np.lexsort((s, np.sort(windows, 1).sum(1)[at], windows.min(1)[at]))]
 
 
 def _add_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums one slice of the buckets over tasks, a batch at a time."""
-    total = np.zeros(BUCKETS // 64, np.int64)
+    total = np.zeros(BUCKETS // SLICES, np.int64)
     for b in batches:
         for x in b.column(b.schema.get_field_index("counts")).to_pylist():
             total += np.frombuffer(x, np.int32)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
 
 
-def bucket_counts(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
-    """How many documents hold a shingle of each bucket (its hash's top 20 bits): summed per task, then over
-    tasks by slices of the buckets, so that what moves depends on the tasks and not on the shingles."""
-    part = BUCKETS // 64
+SURVEY = "doc_id long, n_shingles int, digest binary, cls long, sketch binary, slice int, counts binary"
 
-    def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for _, texts in in_pieces(batches, ["doc_id", "text"]):
+
+def _survey(rows: DataFrame, width: int) -> DataFrame:
+    """A row for each document: the size of its set, its digest, the digest's first 64 bits, its sketch. And, in rows that have a
+    slice, how many documents of a task hold a word of each bucket (its hash's top 20 bits)."""
+    part = BUCKETS // SLICES
+
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int32)
+        for ids, texts in in_pieces(batches, ["doc_id", "text"]):
+            sets = []
             for t in texts:
-                s = shingles(t, width)
-                if len(s):
-                    np.add.at(total, (s >> np.uint64(44)).astype(np.intp), 1)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([total[k * part:(k + 1) * part].astype(np.int32).tobytes() for k in range(64)], pa.binary())], ["slice", "counts"])
+                words = word_hashes(t)
+                np.add.at(total, np.unique(_bucket(words)), 1)
+                sets.append(np.unique(_joined(words, width)))
+            marks = [_digest(s) if len(s) else None for s in sets]
+            yield _record({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int32()), "digest": pa.array(marks, pa.binary()), "cls": pa.array([None if m is None else _class(m) for m in marks], pa.int64()), "sketch": pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary())})
+        held = [k for k in range(SLICES) if total[k * part:(k + 1) * part].any()]
+        yield _record({"slice": pa.array(held, pa.int32()), "counts": pa.array([total[k * part:(k + 1) * part].tobytes() for k in held], pa.binary())})
+
+    return staged(rows.mapInArrow(run, SURVEY), "survey")
+
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(_add_counts, "slice int, counts binary").collect()
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _record(cols: dict) -> pa.RecordBatch:
+    """A batch of SURVEY; columns that are not given are null."""
+    n = len(next(iter(cols.values())))
+    names = [f.split() for f in SURVEY.split(", ")]
+    return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(n, _KINDS[kind])) for c, kind in names], [c for c, _ in names])
+
+
+def word_counts(survey: DataFrame) -> np.ndarray:
+    """How many documents hold a word of each bucket; what moves depends on the tasks and not on the words."""
+    rows = survey.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_counts, "slice int, counts binary").collect()
     out = np.zeros(BUCKETS, np.int64)
+    part = BUCKETS // SLICES
     for r in rows:
         out[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(r["counts"], np.int64)
     return out
@@ -158,28 +203,26 @@ def connect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """(doc_id, n_shingles, component_id) for each row. A repeated id counts as one document with several
     texts: each row is compared, and its component is shared."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = bucket_counts(rows, width)
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(counts.astype(np.uint32))  # 4 MB, whatever the input
-
-    def digest(batches):
-        for ids, texts in in_pieces(batches, ["doc_id", "text"]):
-            sets = [shingles(t, width) for t in texts]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([_digest(s) if len(s) else None for s in sets], pa.string()),
-                pa.array([_sketch(s) for s in sets], pa.binary()),
-            ], ["doc_id", "n_shingles", "digest", "sketch"])
-
-    members = staged(rows.mapInArrow(digest, "doc_id long, n_shingles int, digest string, sketch binary"), "members")
-    classes = staged(members.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
+    survey = _survey(rows, width)
+    order = docs.sparkSession.sparkContext.broadcast(word_counts(survey).astype(np.uint32))  # 4 MB, whatever the input
+    members = survey.where("slice is null").select("doc_id", "n_shingles", "digest", "cls", "sketch")
+    full = members.where("digest is not null and doc_id is not null")
+    classes = staged(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("cls").alias("cls"), F.first("sketch").alias("sketch")), "classes")
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= max(LIGHT_SIZES)).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(sizes, percent)
-    edges = _light(rows, boundary, width, percent).unionByName(_heavy(rows, members, order, boundary, width, percent))
-    same = members.where("digest is not null and doc_id is not null").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = components(edges.unionByName(same.where("a <> b")), "documents")
-    out = members.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    keys = _keys(rows, order, boundary, width, percent)
+    edges = _light(keys.where("lo > 0"), classes).unionByName(_heavy(keys.where("lo = 0").select("key", "n", "cls"), rows, classes, width, percent))
+    # links go between classes; an id with several texts ties their classes
+    several = full.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("doc_id")
+    tied = full.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comp = components(edges.unionByName(tied.where("a <> b")), "documents")
+    reached = staged(classes.select("digest", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "reached")
+    out = members.where("digest is not null").select("doc_id", "n_shingles", "digest").join(reached, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    # a row without words has its own id, or what another text of its id reaches
+    empty = members.where("digest is null").select("doc_id", "n_shingles")
+    other = full.select("doc_id", "digest").join(empty.select("doc_id"), "doc_id", "left_semi").join(reached, "digest").groupBy("doc_id").agg(F.min("component").alias("component"))
+    alone = empty.join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -188,10 +231,14 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
 
 
-def _digest(s: np.ndarray) -> str:
+def _digest(s: np.ndarray) -> bytes:
     import hashlib
 
-    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _class(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 SKETCH, SKETCHED = 256, 1000
@@ -219,74 +266,102 @@ def _differ(a: bytes, b: bytes) -> int:
     return int((_folded(a, parts) != _folded(b, parts)).sum())
 
 
-def _light(rows: DataFrame, boundary: int, width: int, percent: int) -> DataFrame:
-    """Links among sets of at most boundary shingles, through shared subsets."""
-    def emit(batches):
-        for ids, texts in in_pieces(batches, ["doc_id", "text"]):
-            out = [(lo, hi, int(np.uint64(k).view(np.int64)), len(s), i) for i, s in ((i, shingles(t, width)) for i, t in zip(ids, texts, strict=True)) if 0 < len(s) <= boundary for lo, hi, k in _subset_keys(s, boundary, percent)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()], strict=True)], ["lo", "hi", "key", "n", "id"])
+def _keys(rows: DataFrame, order, boundary: int, width: int, percent: int) -> DataFrame:
+    """(lo, hi, key, n, cls), a class once a task. lo > 0: subsets of light sets, for sizes lo and hi. lo = 0: entries of the inverted
+    lists of all sets that a heavy one may link with, their prefixes in the global order. cls may stand for several classes
+    (64 bits of a digest); all of them are then taken."""
+    floor = max(1, -(-(boundary + 1) * percent // 100))
 
-    keys = rows.where("doc_id is not null").mapInArrow(emit, "lo int, hi int, key long, n int, id long")
-    # the first of the smaller and of the larger sets; equal sizes are both sides at once
-    firsts = keys.groupBy("lo", "hi", "key").agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("id"))).alias("small"), F.min(F.when(F.col("n") == F.col("hi"), F.col("id"))).alias("large"), F.count("*").alias("c")).where("c > 1 and small is not null and large is not null")
-    met = keys.join(firsts, ["lo", "hi", "key"])
-    return met.select(F.col("id").alias("a"), F.when(F.col("n") == F.col("lo"), F.col("large")).otherwise(F.col("small")).alias("b")).where("a <> b").distinct()
-
-
-def _entries(rows: DataFrame, order, floor: int, width: int, percent: int) -> DataFrame:
-    """(token, id): the inverted lists of the sets of at least floor shingles, their prefixes in the global order."""
     def emit(batches):
-        counts = order.value
+        counts, seen = order.value, set()
         for ids, texts in in_pieces(batches, ["doc_id", "text"]):
-            tokens, owners = [], []
+            light: list[tuple] = []
+            tokens, owners, sizes = [], [], []
             for i, t in zip(ids, texts, strict=True):
-                s = shingles(t, width)
-                n = len(s)
-                if n < max(1, floor):
+                words = word_hashes(t)
+                if i is None or not len(words):
                     continue
-                take = n - overlap(-(-n * percent // 100), n, percent) + 1
-                tokens.append(_ranked(s, counts)[:take])
-                owners.append(np.full(take, i, np.int64))
+                s = _ranked(words, counts, width)
+                mark = _digest(np.sort(s))
+                if mark in seen:
+                    continue
+                seen.add(mark)
+                n, cls = len(s), _class(mark)
+                if n <= boundary:
+                    light += [(lo, hi, int(np.uint64(k).view(np.int64)), n, cls) for lo, hi, k in _subset_keys(s, boundary, percent)]
+                if n >= floor:
+                    take = n - overlap(-(-n * percent // 100), n, percent) + 1
+                    tokens.append(s[:take])
+                    owners.append(np.full(take, cls, np.int64))
+                    sizes.append(np.full(take, n))
+            names = ["lo", "hi", "key", "n", "cls"]
+            if light:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*light, strict=True), [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], ["token", "id"])
-
-    return rows.where("doc_id is not null").mapInArrow(emit, "token long, id long")
-
-
-def _heavy(rows: DataFrame, members: DataFrame, order, boundary: int, width: int, percent: int) -> DataFrame:
-    """Links of sets with more than boundary shingles (and any between these and smaller ones)."""
-    listed = staged(_entries(rows, order, -(-(boundary + 1) * percent // 100), width, percent), "entries")
-    shared = listed.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    classes = members.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rep_of = members.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("id"), "rep").distinct()
-    # copies of a set are one entry of a list
-    entries = staged(listed.join(shared, "token").join(rep_of, "id").select("token", F.col("rep").alias("id")).distinct(), "lists")
-    length = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    entries = staged(entries.join(length, "token"), "lists")
-    weight = entries.groupBy("id").agg(F.avg("m").alias("weight"), F.count("*").alias("k"))
-    own = members.select(F.col("doc_id").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n"))
-    weight = weight.join(own, "id").select("id", (F.col("weight") * F.col("k") / F.col("n")).alias("weight"))
-    leader = entries.join(weight, "id").groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("l")).select("token", (-F.col("l.id")).alias("leader"))
-    led = staged(entries.select("token", "id").join(leader, "token"), "led")
-    pairs = staged(led.select("leader", "id").distinct(), "stars")
-    sketches = members.where("digest is not null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").distinct()
-    stars = staged(_rule_out(pairs.where("id <> leader"), sketches, percent), "bounds")
+                key = np.concatenate(tokens).view(np.int64)
+                zero = pa.array(np.zeros(len(key), np.int32))
+                yield pa.RecordBatch.from_arrays([zero, zero, pa.array(key), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(owners))], names)
+
+    return staged(rows.mapInArrow(emit, "lo int, hi int, key long, n int, cls long"), "keys")
+
+
+def _light(keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links among light sets, through shared subsets."""
+    # the first of the smaller and of the larger sets; equal sizes are both sides at once
+    firsts = staged(keys.groupBy("lo", "hi", "key").agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("cls"))).alias("small"), F.min(F.when(F.col("n") == F.col("hi"), F.col("cls"))).alias("large"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y and small is not null and large is not null").drop("x", "y"), "firsts")
+    met = keys.join(firsts, ["lo", "hi", "key"]).select(F.col("cls").alias("a"), F.when(F.col("n") == F.col("lo"), F.col("large")).otherwise(F.col("small")).alias("b")).where("a <> b").distinct()
+    rep = lambda side: classes.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"))
+    return met.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
+def _heavy(tokens: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of sets with more than boundary shingles (and any between these and smaller ones). A class goes by its smallest document."""
+    counted = tokens.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("c"), F.min("n").alias("s"), F.max("n").alias("t"))
+    shared = staged(counted.where(f"x <> y and (c > 2 or 100 * s >= {percent} * t)").drop("s", "t"), "shared")
+    # most lists hold two sets, which the count has found; the same two have many, and are one pair
+    two = shared.where("c = 2").select("x", "y").distinct()
+    two = two.join(classes.select(F.col("cls").alias("x"), F.col("rep").alias("leader"), F.col("n").alias("leader_n")), "x").join(classes.select(F.col("cls").alias("y"), F.col("rep").alias("id"), "n"), "y").drop("x", "y")
+    met = tokens.select("key", "cls").join(shared.where("c > 2").select("key"), "key").join(classes.select("cls", F.col("rep").alias("id"), "n"), "cls")
+    # a list is split by bands of sizes; a set is held in its own and shown to the next
+    band = F.floor(F.log("n") / -math.log(percent / 100) + 1e-9) if percent < 100 else F.col("n").cast("long")
+    split = met.select("key", "id", "n", band.alias("band"), F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
+    split = split.groupBy(F.xxhash64("key", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") + 1)).alias("token"), "id", "n").agg(F.max("own").alias("own"))
+    listed = staged(split, "lists")
+    # near copies share many lists: of those that hold the same sets, by two hashes of all their members, one is scanned
+    member = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "id", "n"))
+    length = listed.groupBy("token").agg(F.count("*").alias("m"), F.max("own").alias("own"), F.min("id").alias("x"), F.max("id").alias("y"), member(1).alias("h1"), member(2).alias("h2")).where("own and x <> y")
+    length = staged(length.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token", "m"), "lengths")
+    entries = staged(listed.join(length, "token").select("token", "id", "n", "m"), "entries")
+    weight = staged(entries.groupBy("id").agg((F.sum("m") / F.max("n")).alias("weight")), "weights")
+    leader = staged(entries.join(weight, "id").groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), F.col("n").alias("n"))).alias("l")).select("token", (-F.col("l.id")).alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
+    led = staged(entries.select("token", "id", "n").join(leader, "token"), "led")
+    pairs = staged(led.select("leader", "leader_n", "id", "n").distinct(), "stars")
+    pairs = staged(pairs.unionByName(two).distinct(), "pairs")
+    sketches = staged(_among(classes.select(F.col("rep").alias("id"), "n", "sketch"), pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()), "sketches")
+    # sizes rule out most unrelated pairs before sketches are moved
+    apart = pairs.where("id <> leader").withColumn("ratio", F.least("n", "leader_n") / F.greatest("n", "leader_n"))
+    by_size = apart.where(F.least("n", "leader_n") * 100 < F.greatest("n", "leader_n") * percent).select("leader", "id", F.lit(False).alias("possible"), (1 - F.col("ratio")).alias("lo"))
+    stars = staged(by_size.unionByName(_rule_out(apart.where(F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent).select("leader", "id").distinct(), sketches, percent)), "bounds")
     near = staged(_measured(stars.where("possible").select("leader", "id").distinct(), rows, width, percent), "distances")
     linked = near.where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    comp = components(linked, "stars")
+    comp = staged(components(linked, "stars"), "star-components")
     # members that were measured meet others of their leader's cluster; members that were ruled out, those of their lists
     delta = 1 - percent / 100 + 1e-9
     centre = pairs.select("leader").distinct().select("leader", F.col("leader").alias("id"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
     known = near.select("leader", "id", F.col("d").alias("lo"), F.col("d").alias("hi")).unionByName(centre).distinct()
     far = stars.where("not possible").select("leader", "id", "lo", F.lit(2.0).alias("hi"))
-    listed = staged(led.join(known.unionByName(far), ["leader", "id"]).select("token", "id", "lo", "hi"), "list-places")
-    least = listed.where("hi > 1").groupBy("token").agg(F.min("lo").alias("least"), F.count("*").alias("far"))
-    by_list = listed.join(least, "token").where(f"hi > 1 or hi >= least - {delta}").select(F.col("token").alias("group"), "id", "lo", "hi")
-    by_cluster = known.select(F.col("leader").alias("group"), "id", "lo", "hi")
-    met = staged(_blocks(by_cluster, comp, sketches, percent, False).unionByName(_blocks(by_list, comp, sketches, percent, True)).distinct(), "candidates")
-    more = _measured(met, rows, width, percent).where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    return linked.unionByName(more)
+    places = staged(known.unionByName(far), "places")
+    listed = staged(led.select("token", "leader", "id").join(places, ["leader", "id"]).select("token", "id", "lo", "hi"), "list-places")
+    least = staged(listed.where("hi > 1").groupBy("token").agg(F.min("lo").alias("least")), "far-lists")
+    by_list = listed.join(least, "token").where(f"hi > 1 or hi >= least - {delta}").select(F.col("token").alias("group"), F.lit(True).alias("far"), "id", "lo", "hi")
+    by_cluster = places.where("hi <= 1").select(F.col("leader").alias("group"), F.lit(False).alias("far"), "id", "lo", "hi")
+    groups = staged(by_list.unionByName(by_cluster), "groups")
+    # first, of each block, the links that would tie its components most closely; then all pairs of what is still apart
+    ties = staged(_measured(staged(_blocks(groups, comp, sketches, percent, True), "candidates"), rows, width, percent), "ties")
+    linked = linked.unionByName(ties.where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    apart = _blocks(groups, staged(components(linked, "tied"), "tied-components"), sketches, percent, False)
+    more = _measured(staged(apart.join(ties.select("leader", "id"), ["leader", "id"], "left_anti"), "candidates"), rows, width, percent)
+    return linked.unionByName(more.where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b")))
 
 
 def _rule_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -313,15 +388,21 @@ def _least(n, m, diff):
     return np.maximum(2 * diff / (n + m + diff), 1 - np.minimum(n, m) / np.maximum(n, m))
 
 
-def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows whose doc_id is among ids. A bitmap of 2^23 hashed ids, broadcast (131,072 words at most), leaves out most of the
-    others before texts are moved; the join decides."""
+def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df (id, ...) whose id is among ids. A bitmap of 2^23 hashed ids, broadcast (131,072 words at most), leaves out most of the
+    others before rows are moved; the join decides."""
     bits = 1 << 23
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = ids.select(slot("id").alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("held"))
-    some = rows.withColumn("__s", slot("doc_id")).withColumn("word", F.expr("__s div 64")).join(F.broadcast(staged(words, "bitmap")), "word")
-    some = some.where(F.expr("(shiftrightunsigned(held, cast(__s % 64 as int)) & 1) = 1")).select("doc_id", "text")
-    return some.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    some = df.withColumn("__s", slot("id")).withColumn("word", F.expr("__s div 64")).join(F.broadcast(staged(words, "bitmap")), "word")
+    some = some.where(F.expr("(shiftrightunsigned(held, cast(__s % 64 as int)) & 1) = 1")).select(*df.columns)
+    return some.join(ids.select("id"), "id", "left_semi")
+
+
+def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts (doc_id, text) of ids; rows that are the same come once."""
+    some = _among(rows.select(F.col("doc_id").alias("id"), "text"), ids)
+    return some.groupBy("id", F.sha2("text", 256).alias("__mark")).agg(F.first("text").alias("text")).select(F.col("id").alias("doc_id"), "text")
 
 
 def _measured(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -348,39 +429,41 @@ def _measured(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     return joined.select("leader", "lead_text", "id", "text").mapInArrow(measure, "leader long, id long, d double, linked boolean")
 
 
-PART = 128
+PART = 1024
 
 
-def _blocks(places: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int, one_far: bool) -> DataFrame:
-    """Pairs (leader, id) still to be measured: members of one group (a cluster or a list) that are in different components
+def _blocks(groups: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int, ties: bool) -> DataFrame:
+    """Pairs (leader, id) still to be measured: members of one group (a cluster or, with far, a list) that are in different components
     so far and that neither their distances from its leader (between lo and hi) nor sizes and sketches rule out.
-    one_far: only pairs with a member whose distance is not known."""
+    far: only pairs with a member whose distance is not known. ties: of the pairs that meet in a block only a forest over their
+    components, of those whose sketches differ least, so that there are no more pairs than members."""
     delta = 1 - percent / 100 + 1e-9
-    cluster = places.join(comp, "id", "left").select(F.col("group").alias("leader"), "id", "lo", "hi", F.coalesce("component", "id").alias("comp"), F.when(F.col("hi") <= 1, F.floor(F.col("lo") / delta)).otherwise(F.lit(-1) - F.floor(F.col("lo") / delta)).alias("band"))
-    mixed = cluster.groupBy("leader").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("leader")
-    cluster = staged(cluster.join(mixed, "leader"), "clusters")
+    group = ["leader", "far"]
+    cluster = groups.join(comp, "id", "left").select(F.col("group").alias("leader"), "far", "id", "lo", "hi", F.coalesce("component", "id").alias("comp"), F.when(F.col("hi") <= 1, F.floor(F.col("lo") / delta)).otherwise(F.lit(-1) - F.floor(F.col("lo") / delta)).alias("band"))
+    cluster = staged(cluster, "members")
+    mixed = staged(cluster.groupBy(*group).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select(*group, (F.col("c") <= PART).alias("small")), "mixed")
+    # a group that is one block needs no bands: distances are looked at pair by pair
+    one = F.when(F.col("small"), F.when(F.col("far"), -1).otherwise(0)).otherwise(F.col("band"))
+    cluster = staged(cluster.join(mixed, group).withColumn("band", one).drop("small"), "clusters")
     # a component with many members in a band has parts of its own, which need not meet; the rest share parts
-    sizes = cluster.groupBy("leader", "band", "comp").agg(F.count("*").alias("m"))
-    kind = F.when(F.col("m") >= PART, F.col("comp")).otherwise(F.lit(None).cast("long"))
-    kinds = sizes.select("leader", "band", "comp", F.coalesce(kind, F.lit(-(1 << 63))).alias("kind"), "m")
-    parts = kinds.groupBy("leader", "band", "kind").agg(F.ceil(F.sum("m") / PART).cast("int").alias("parts"))
-    placed = cluster.join(kinds.drop("m"), ["leader", "band", "comp"]).join(parts, ["leader", "band", "kind"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    placed = staged(placed.select("leader", "id", "lo", "hi", "comp", "band", "kind", "part"), "parts")
-    p = placed.groupBy("leader", "band", "kind", "part").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    left, right = (p.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("band", "kind", "part", "c1", "c2", "lo", "hi")]) for k in "lr")
-    meets = left.join(right, "leader").where(f"lol <= hir + {delta} and lor <= hil + {delta} and (bandl, kindl, partl) <= (bandr, kindr, partr)").where("not (c1l = c2l and c1r = c2r and c1l = c1r)")
-    if one_far:
-        meets = meets.where("bandl < 0 or bandr < 0")
-    meets = staged(meets.select("leader", "bandl", "kindl", "partl", "bandr", "kindr", "partr"), "meetings")
-    key = [F.col(c) for c in meets.columns]
-    sides = meets.select(*[c.alias(f"b{k}") for k, c in enumerate(key)], "leader", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("band", "kind", "part")]) for k in "lr"]))).alias("p"))
-    block = [f"b{k}" for k in range(len(key))]
-    rows = sides.select(*block, "leader", "p.*").join(placed, ["leader", "band", "kind", "part"]).select(*block, "id", "lo", "hi", "comp").join(sketches, "id")
+    sizes = cluster.groupBy(*group, "band", "comp").agg(F.count("*").alias("m"))
+    kind = F.when(F.col("m") > PART, F.col("comp")).otherwise(F.lit(None).cast("long"))
+    kinds = staged(sizes.select(*group, "band", "comp", F.coalesce(kind, F.lit(-(1 << 63))).alias("kind"), "m"), "kinds")
+    parts = staged(kinds.groupBy(*group, "band", "kind").agg(F.ceil(F.sum("m") / PART).cast("int").alias("parts")), "part-counts")
+    placed = cluster.join(kinds.drop("m"), [*group, "band", "comp"]).join(parts, [*group, "band", "kind"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = staged(placed.select(*group, "id", "lo", "hi", "comp", "band", "kind", "part"), "parts")
+    p = placed.groupBy(*group, "band", "kind", "part").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    left, right = (p.select(*group, *[F.col(c).alias(f"{c}{k}") for c in ("band", "kind", "part", "c1", "c2", "lo", "hi")]) for k in "lr")
+    meets = left.join(right, group).where(f"lol <= hir + {delta} and lor <= hil + {delta} and (bandl, kindl, partl) <= (bandr, kindr, partr)").where("not (c1l = c2l and c1r = c2r and c1l = c1r) and (not far or bandl < 0 or bandr < 0)")
+    meets = staged(meets.select(*group, "bandl", "kindl", "partl", "bandr", "kindr", "partr"), "meetings")
+    block = [f"b{k}" for k in range(len(meets.columns))]
+    sides = meets.select(*[F.col(c).alias(b) for c, b in zip(meets.columns, block, strict=True)], *group, F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("band", "kind", "part")]) for k in "lr"]))).alias("p"))
+    rows = sides.select(*block, *group, "p.*").join(placed, [*group, "band", "kind", "part"]).select(*block, "far", "id", "lo", "hi", "comp").join(sketches, "id")
 
     def meet(batches):
-        for g in _groups(batches, block):
-            lo, hi, n, comps, ids = (g[c] for c in ("lo", "hi", "n", "comp", "id"))
-            n, out, sketch = n.astype(np.int64), [], g["sketch"]
+        for g in runs_of(batches, block):
+            lo, hi, n, comps, ids, sketch = (g[c] for c in ("lo", "hi", "n", "comp", "id", "sketch"))
+            n, one_far, out = n.astype(np.int64), bool(g["far"][0]), []
             length = np.array([len(x) for x in sketch])
             sk = {parts: np.stack([_folded(x, parts) if len(x) >= parts else np.zeros(parts, np.uint8) for x in sketch]) for parts in set(length.tolist())}
             for i in range(len(ids) - 1):
@@ -394,18 +477,40 @@ def _blocks(places: DataFrame, comp: DataFrame, sketches: DataFrame, percent: in
                 for parts, at in sk.items():
                     same = np.minimum(length[j], length[i]) == parts
                     diff[same] = (at[j[same]] != at[i]).sum(1)
-                j = j[_may_link(n[j], n[i], diff, percent)]
-                if len(j):
-                    out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], 1))
+                may = _may_link(n[j], n[i], diff, percent)
+                if may.any():
+                    j = j[may]
+                    out.append(np.stack([diff[may], np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), comps[j], np.full(len(j), comps[i])], 1))
             if out:
                 both = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["leader", "id"])
+                if ties:
+                    both = _forest(both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(both[:, 2])], ["leader", "id"])
 
     # one group after another in sorted partitions: a call for each of many small groups would cost more than its work
     return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(meet, "leader long, id long").distinct()
 
 
-def _groups(batches, keys: list[str]):
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """The rows (.., .., .., component, component) that tie components not tied by rows before them."""
+    up: dict[int, int] = {}
+
+    def find(x):
+        while x in up:
+            x = up[x]
+        return x
+    keep, need = [], len(np.unique(pairs[:, 3:])) - 1
+    for k, (a, b) in enumerate(pairs[:, 3:].tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            keep.append(k)
+            if len(keep) == need:
+                break
+    return pairs[keep]
+
+
+def runs_of(batches, keys: list[str]):
     """Columns (arrays, or lists of bytes) of each run of rows with equal keys; a run may span batches."""
     held = None
     for b in itertools.chain(batches, [None]):
