@@ -28,38 +28,38 @@ class StoreError(Exception):
 
 
 class AlreadyLocked(StoreError):
-    code, text = "AlreadyLocked", "directory already locked for writing by another handle"
+    code, text = "AlreadyLocked", "another handle holds the write lock of this store"
 
 
 class EmptyKey(StoreError):
-    code, text = "EmptyKey", "key must not be empty"
+    code, text = "EmptyKey", "a key has at least one byte"
 
 
 class KeyTooLarge(StoreError):
-    code, text = "KeyTooLarge", "key too large: the limit is 2^31 - 1 bytes"
+    code, text = "KeyTooLarge", "a key has 2^31 - 1 bytes at most"
 
 
 class ValueTooLarge(StoreError):
-    code, text = "ValueTooLarge", "value too large: the limit is 2^32 - 1 bytes"
+    code, text = "ValueTooLarge", "a value has 2^32 - 1 bytes at most"
 
 
 class ReadOnly(StoreError):
-    code, text = "ReadOnly", "datastore is not open for writing (read-only handle)"
+    code, text = "ReadOnly", "this handle only reads"
 
 
 class Unordered(StoreError):
-    code, text = "Unordered", "a range of keys needs a sorted keydir: open with key_order: KeyOrder::Sorted"
+    code, text = "Unordered", "ranges of keys are for stores opened with KeyOrder.SORTED"
 
 
 class BatchTooLarge(StoreError):
-    code, text = "BatchTooLarge", "batch too large: its operations add up to more than 2^32 - 1 bytes"
+    code, text = "BatchTooLarge", "the operations of a batch have 2^32 - 1 bytes together at most"
 
 
 class ConditionFailed(StoreError):
     code = "ConditionFailed"
 
     def __init__(self, index: int):
-        super().__init__(f"condition failed: the check at position {index} of the batch didn't hold, so nothing was written")
+        super().__init__(f"check {index} of the batch does not hold; the batch wrote nothing")
         self.index = index
 
 

@@ -23,6 +23,11 @@ def theta_join(r: DataFrame, s: DataFrame, on: Column) -> DataFrame:
     return r.distinct().join(s.distinct(), on)
 
 
+def equi_join(r: DataFrame, s: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Rows of r and s whose columns are equal as `on` pairs them; of two sets, a set. Nulls meet nothing."""
+    return r.join(s, [F.col(a) == F.col(b) for a, b in on.items()])
+
+
 def natural_join(r: DataFrame, s: DataFrame) -> DataFrame:
     """On all columns that both have; with none, the product."""
     common = [c for c in r.columns if c in s.columns]
@@ -98,10 +103,14 @@ def _batch(rows: DataFrame, seq: int) -> DataFrame:
     return rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(0).alias("op_idx"), "key", "value", "tombstone")
 
 
-def first_wins(attempts: DataFrame) -> DataFrame:
-    """Attempts (seq, key, ...) that each check that the key is absent: the first of each key succeeds."""
+def first_wins(attempts: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Attempts (seq, key, ...) that each check that the key is absent: the first of each key succeeds, if the key is not
+    live (without live: in an empty store)."""
     w = Window.partitionBy("key").orderBy("seq")
-    return attempts.withColumn("applied", F.row_number().over(w) == 1)
+    if live is None:
+        return attempts.withColumn("applied", F.row_number().over(w) == 1)
+    met = attempts.join(live.select("key", F.lit(True).alias("__there")), "key", "left")
+    return met.withColumn("applied", F.col("__there").isNull() & (F.row_number().over(w) == 1)).drop("__there")
 
 
 def compare_and_put(live: DataFrame, attempts: DataFrame) -> DataFrame:

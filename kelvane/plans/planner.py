@@ -64,7 +64,7 @@ def query(live: DataFrame, text: str, order: KeyOrder = KeyOrder.HASHED) -> Data
 
 
 def select_by_scan(live: DataFrame, key) -> tuple[DataFrame, DataFrame]:
-    """The same restriction by visiting every row: (rows, rows visited)."""
+    """The same restriction by visiting every row: (rows, a row with their number `visited`)."""
     return live.where(F.col("key") == F.lit(key)), live.agg(F.count("*").alias("visited"))
 
 

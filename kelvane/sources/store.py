@@ -287,8 +287,11 @@ class Store:
                     mine[op.key] = None
             if written:
                 rows += written
-                now |= mine
-                now = {key: v for key, v in now.items() if v is not None}
+                for key, version in mine.items():
+                    if version is None:
+                        now.pop(key, None)
+                    else:
+                        now[key] = version
                 out[k], seq = seq, seq + 1
         if rows or token:
             manifest = self._manifest | {"next_seq": seq}
@@ -304,16 +307,21 @@ class Store:
             self._publish(manifest)
         return out
 
-    def write_frame(self, ops: DataFrame, ts: int | None = None) -> int | None:
+    def write_frame(self, ops: DataFrame, ts: int | None = None, token: tuple[str, int] | None = None) -> int | None:
         """One batch from a DataFrame (key, value, tombstone; the last of equal keys by an optional op_idx counts):
-        for sets too large for the driver. Keys are checked in the same job; deletes of absent keys are left out."""
+        for sets too large for the driver. Keys and values are checked in the same job; deletes of absent keys are left out.
+        token as in commit_group: it is published with the rows, in one manifest."""
         if self.options.read_only:
             raise ReadOnly
+        if token and self._manifest["done"].get(token[0], -1) >= token[1]:
+            return None
+        done = self._manifest["done"] | ({token[0]: token[1]} if token else {})
         seq, ts = self.next_seq, int(time.time()) if ts is None else ts
         if "op_idx" not in ops.columns:
             ops = ops.withColumn("op_idx", F.lit(0))
         last = lv.latest(ops.withColumn("seq", F.lit(seq).cast("long")))
         last = last.withColumn("key", F.when(F.length("key") > 0, F.col("key")).otherwise(F.raise_error(F.lit("key must not be empty"))))
+        last = last.withColumn("value", F.when(F.col("tombstone") | F.col("value").isNotNull(), F.col("value")).otherwise(F.raise_error(F.lit("a put needs a value"))))
         there = self.live().select("key", F.lit(True).alias("__there"))
         kept = last.join(there, "key", "left").where("not tombstone or coalesce(__there, false)")
         folder = f"log-{seq:020d}-{uuid.uuid4().hex}"
@@ -322,8 +330,10 @@ class Store:
         names = sorted(f"{folder}/{n}" for n in os.listdir(os.path.join(self.path, folder)) if n.endswith(".parquet"))
         if not sum(pq.read_metadata(os.path.join(self.path, n)).num_rows for n in names):
             shutil.rmtree(os.path.join(self.path, folder))
+            if token:
+                self._publish(self._manifest | {"done": done})
             return None
-        self._publish(self._manifest | {"files": [*self._manifest["files"], *names], "next_seq": seq + 1})
+        self._publish(self._manifest | {"files": [*self._manifest["files"], *names], "next_seq": seq + 1, "done": done})
         return seq
 
     def _write_sorted(self, rows: DataFrame) -> list[str]:

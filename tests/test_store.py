@@ -268,6 +268,60 @@ def test_stream_of_operations(spark, tmp_path):
         assert s.commit_group([[Put(b"z", b"")]], token=("stream", 0)) == [None] and s.next_seq == n
 
 
+def test_a_failure_before_publication_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    """A micro-batch of the executors' way whose driver fails when it publishes is delivered again, and counts once."""
+    src, schema = str(tmp_path / "in"), "seq long, op_idx int, key binary, value binary, tombstone boolean"
+    spark.createDataFrame([(k, 0, bytearray(b"k%d" % k), bytearray(b"v"), False) for k in range(50)], schema).coalesce(1).write.parquet(src)
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        run = lambda: upsert(spark.readStream.schema(schema).parquet(src), s, str(tmp_path / "cp"), per_group=5).awaitTermination()
+        publish, calls = s._publish, []
+
+        def fails_after(manifest):
+            publish(manifest)
+            calls.append(1)
+            raise RuntimeError("the driver goes down")
+
+        monkeypatch.setattr(s, "_publish", fails_after)
+        with pytest.raises(Exception, match="goes down"):
+            run()
+        monkeypatch.setattr(s, "_publish", publish)
+        run()
+        assert len(calls) == 1 and s.log().count() == 50 and s.next_seq == 2 and len(s) == 50
+        # and before: files that no manifest names do not count
+        spark.createDataFrame([(100 + k, 0, bytearray(b"m%d" % k), bytearray(b"v"), False) for k in range(20)], schema).coalesce(1).write.mode("append").parquet(src)
+
+        def fails_before(manifest):
+            raise RuntimeError("the driver goes down")
+
+        monkeypatch.setattr(s, "_publish", fails_before)
+        with pytest.raises(Exception, match="goes down"):
+            run()
+        monkeypatch.setattr(s, "_publish", publish)
+        run()
+        assert s.log().count() == 70 and s.next_seq == 3 and len(s) == 70
+
+
+def test_groups_take_linear_time(spark, tmp_path):
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        with Store.open(spark, str(tmp_path / str(n))) as s:
+            began = time.perf_counter()
+            got = s.commit_group([[Put(b"%d" % k, b"")] for k in range(n)])
+            took.append(time.perf_counter() - began)
+            assert got == list(range(1, n + 1))
+    assert took[1] < 20 * took[0] + 2
+
+
+def test_frames_are_checked(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        for key, value in ((b"", b"v"), (None, b"v"), (b"k", None)):
+            with pytest.raises(Exception, match="key must not be empty|needs a value"):
+                s.write_frame(spark.createDataFrame([(key, value, False)], "key binary, value binary, tombstone boolean"))
+        assert s.next_seq == 1 and s.is_empty()
+
+
 def test_load(spark):
     n = {r["op"]: r["count"] for r in loadgen.workload(spark, 11_000).groupBy("op").count().collect()}
     assert abs(n["get"] - 8000) < 300 and abs(n["put"] - 2000) < 200 and abs(n["delete"] - 1000) < 150
