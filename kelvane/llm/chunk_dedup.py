@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_pieces
+from .common import in_pieces, staged
 
 MIN, MEAN, MAX = 8, 24, 128
 MIN_WORDS, BYTES_A_WORD = 16, 8
@@ -72,14 +72,18 @@ def _version(text_col: str):
     return F.hash(F.col(text_col).cast("string"))
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smallest: int = MIN, mean: int = MEAN, largest: int = MAX) -> DataFrame:
-    """(doc_id, version, start, len, words, last, digest) of every chunk; start and len in bytes of UTF-8."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smallest: int = MIN, mean: int = MEAN, largest: int = MAX, once: bool = False) -> DataFrame:
+    """(doc_id, version, start, len, words, last, digest) of every chunk; start and len in bytes of UTF-8. once: rows that are the
+    same are cut once a task."""
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for ids, versions, texts in in_pieces(batches, ["doc_id", "version", "text"], 1_000_000):
             rows: list[list] = [[], [], [], [], [], [], []]
             for i, v, t in zip(ids, versions, texts, strict=True):
-                if i is None or not t:
+                if i is None or not t or (once and (i, v) in seen):
                     continue
+                if once:
+                    seen.add((i, v))
                 raw = t.encode("utf-8", "replace")
                 data = np.frombuffer(raw, np.uint8)
                 ends = cuts(data, smallest, mean, largest)
@@ -105,17 +109,17 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     start and end are bytes of the text's UTF-8; first_doc_id is the smallest document that holds
     one of the passage's chunks and n_copies the most often that one occurs. kept: these are the
-    first occurrences. One pre-aggregated shuffle counts digests; chunks then meet the repeated ones
-    (a join that adaptive execution may split by size); only those go on to be put in order by document.
+    first occurrences. One pre-aggregated shuffle counts digests; those that repeat are staged, and chunks, cut a second time, meet
+    them in a join of two plain tables, which adaptive execution splits where one digest has many rows; only what meets goes on to be put in
+    order by document.
     """
     return _passages(docs, id_col, text_col, min_words, **sizes).drop("version")
 
 
 def _passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **sizes) -> DataFrame:
-    all_chunks = chunks(docs, id_col, text_col, **sizes)
     place = ("doc_id", "start", "version")
-    first = all_chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("f")).where("n > 1")
-    met = all_chunks.join(first, "digest").select("doc_id", "version", "start", (F.col("start") + F.col("len")).alias("end"), "words", "last", "n", F.col("f.doc_id").alias("first_doc"), (F.struct(*place) == F.col("f")).alias("kept"))
+    first = chunks(docs, id_col, text_col, **sizes).groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("f")).where("n > 1")
+    met = chunks(docs, id_col, text_col, **sizes, once=True).join(staged(first, "repeats"), "digest").select("doc_id", "version", "start", (F.col("start") + F.col("len")).alias("end"), "words", "last", "n", F.col("f.doc_id").alias("first_doc"), (F.struct(*place) == F.col("f")).alias("kept"))
     order = Window.partitionBy("doc_id", "version").orderBy("start")
     # rows that are the same come once
     once = met.withColumn("again", F.lag("start").over(order) == F.col("start")).where("again is null or not again")
