@@ -10,10 +10,11 @@ Ids are those of a column of ids, two or four bytes each (one that is null or do
 hold them packed, little-endian), or without one the bytes of the text's UTF-8 (a byte vocabulary, one byte each). A record is: document id (int64), number of the sequence in it (uint32), how many ids it has (uint32), then LENGTH
 ids, unused ones 0; all little-endian.
 
-Numbering needs no shuffle of the text: one pass counts sequences per input split (a file and an offset, of
-which MAX_SPLITS at most are broadcast), a second pass counts on from each split's base. Input that is not
-read from files is staged as files first. Sequences travel to their shard in compressed runs. Shards are
-written under a temporary name and moved, so a task that is lost or run twice leaves whole files.
+Numbering needs no shuffle: the rows are staged with the number of their task and how many sequences came before them in it, so that
+numbers hang on the staged rows and on no plan of input splits; counts of tasks (MAX_SPLITS at most, 16 bytes each, broadcast)
+give each task its base. Sequences travel to their shard in compressed runs. Shards are
+written under a temporary name and moved, so a task that is lost or run twice leaves whole files; the manifest is written when all of them
+are there.
 Null or empty text or ids: no sequences. A null id is stored as the least int64. Repeated rows are sequences of their own.
 """
 
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.errors import AnalysisException
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -71,59 +72,62 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
     spark = docs.sparkSession
     out_dir = out_dir or fresh_path(spark, "shards")
     item = id_bytes if ids_col else 1
-    try:
-        docs.select("_metadata.file_path", "_metadata.file_block_start").schema
-    except AnalysisException:
-        docs = staged(docs, "sequences")
     lists = bool(ids_col) and not isinstance(docs.schema[ids_col].dataType, BinaryType)
-    body = F.col(ids_col).cast("array<long>") if lists else F.col(ids_col) if ids_col else F.col(text_col).cast("string")
-    rows = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
-    size = F.size("body") if lists else F.octet_length("body") / item
-    counts = rows.groupBy("file", "at").agg(F.sum(F.ceil(F.greatest(F.lit(0), F.coalesce(size, F.lit(0))) / length)).cast("long").alias("n")).limit(MAX_SPLITS + 1).collect()
+    body = F.col(ids_col).cast("array<long>") if lists else F.col(ids_col) if ids_col else F.encode(F.col(text_col).cast("string"), "UTF-8")
+    width = length * item
+
+    def number(batches):
+        task, before = TaskContext.get().partitionId(), 0
+        for ids, bodies in _pieces(batches, lists, item):
+            sizes = np.array([0 if x is None else -(-len(x) // width) for x in bodies], np.int64)
+            keep = np.flatnonzero(sizes).tolist()
+            if not keep:
+                continue
+            sizes = sizes[keep]
+            first = before + np.cumsum(sizes) - sizes
+            before += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), task, np.int32)), pa.array(first), pa.array(sizes), pa.array([ids[k] for k in keep], pa.int64()), pa.array([bodies[k] for k in keep], pa.binary())], ["task", "first", "n", "doc_id", "body"])
+
+    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).mapInArrow(number, "task int, first long, n long, doc_id long, body binary"), "sequences")
+    counts = rows.groupBy("task").agg(F.sum("n").alias("n")).limit(MAX_SPLITS + 1).collect()
     if len(counts) > MAX_SPLITS:
-        raise ValueError(f"more than {MAX_SPLITS} input splits: raise spark.sql.files.maxPartitionBytes")
-    bases, total = {}, 0
-    for r in sorted(counts, key=lambda r: (r["file"], r["at"])):
-        bases[r["file"], r["at"]] = total
-        total += r["n"] or 0
-    shared = spark.sparkContext.broadcast(bases)
+        raise ValueError(f"more than {MAX_SPLITS} tasks: give docs fewer partitions")
+    sizes = np.zeros(max((r["task"] + 1 for r in counts), default=0), np.int64)
+    for r in counts:
+        sizes[r["task"]] = r["n"]
+    total = int(sizes.sum())
+    shared = spark.sparkContext.broadcast(np.cumsum(sizes) - sizes)
 
     def deal(batches):
-        used: dict = {}
         pack = zstandard.ZstdCompressor(level=3)
         held: dict[int, list[bytes]] = {}
         weight = 0
 
         def flush():
-            for shard in sorted(held):
-                yield shard, pack.compress(b"".join(held[shard]))
+            pairs = [(shard, pack.compress(b"".join(held[shard]))) for shard in sorted(held)]
             held.clear()
-
-        def batch_of(pairs):
-            a, b = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["shard", "run"])
-
-        stride = 24 + length * item
-        for files, ats, ids, bodies in _pieces(batches, lists, item):
-            for file, at, i, x in zip(files, ats, ids, bodies, strict=True):
-                raw = x.tobytes() if lists else (x or b"") if ids_col else (x or "").encode("utf-8", "replace")
-                n = -(-len(raw) // (length * item))
-                if not n:
-                    continue
-                start = used.get((file, at), 0)
-                used[file, at] = start + n
-                slots = permute(np.arange(n) + shared.value[file, at] + start, total, key)
-                for k, slot in enumerate(slots.tolist()):
-                    part = raw[k * length * item:(k + 1) * length * item]
-                    head = np.array([slot, NO_ID if i is None else i], "<i8").tobytes() + np.array([k, len(part) // item], "<u4").tobytes()
-                    held.setdefault(slot // per_shard, []).append(head + part.ljust(length * item, b"\0"))
-                weight += n * stride
-                if weight > 64_000_000:
-                    weight = 0
-                    if pairs := list(flush()):
-                        yield batch_of(pairs)
-        if pairs := list(flush()):
-            yield batch_of(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.binary())], ["shard", "run"])
+
+        for tasks, firsts, ns, ids, bodies in in_pieces(batches, ["task", "first", "n", "doc_id", "body"], 8_000_000):
+            n = np.array(ns, np.int64)
+            seq = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            slots = permute(np.repeat(shared.value[np.array(tasks)] + np.array(firsts), n) + seq, total, key)
+            used = np.minimum(np.repeat([len(x) for x in bodies], n) - seq * width, width) // item
+            head = np.zeros(len(seq), [("slot", "<i8"), ("id", "<i8"), ("seq", "<u4"), ("used", "<u4")])
+            head["slot"], head["seq"], head["used"] = slots, seq, used
+            head["id"] = np.repeat([NO_ID if i is None else i for i in ids], n)
+            raw, shards, at = head.tobytes(), (slots // per_shard).tolist(), 0
+            for x, m in zip(bodies, n.tolist(), strict=True):
+                for k in range(m):
+                    part = x[k * width:(k + 1) * width]
+                    held.setdefault(shards[at], []).append(raw[at * 24:at * 24 + 24] + (part if len(part) == width else part.ljust(width, b"\0")))
+                    at += 1
+            weight += len(seq) * (24 + width)
+            if weight > 64_000_000:
+                weight = 0
+                yield flush()
+        if held:
+            yield flush()
 
     runs = rows.mapInArrow(deal, "shard long, run binary")
 
@@ -150,21 +154,25 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
         rest = records[:, 16:24].copy().view("<u4")
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64").copy() if (ids != NO_ID).all() else pd.Series(ids, dtype="Int64").where(pd.Series(ids != NO_ID)), "seq_no": rest[:, 0].astype(np.int64), "slot": slots, "shard": shard, "offset": (slots - shard * per_shard) * (stride - 8), "n_ids": rest[:, 1].astype(np.int64), "path": name})
 
+    out = staged(runs.groupBy("shard").applyInPandas(write, "doc_id long, seq_no long, slot long, shard long, offset long, n_ids long, path string"), "slots")
     _write_manifest(out_dir, {"n": total, "length": length, "per_shard": per_shard, "id_bytes": item, "stride": 16 + length * item, "key": key, "rounds": ROUNDS})
-    return runs.groupBy("shard").applyInPandas(write, "doc_id long, seq_no long, slot long, shard long, offset long, n_ids long, path string")
+    return out
 
 
 def _pieces(batches, lists, item):
-    if lists:
-        for b in batches:
-            flat = b.column(3).flatten()
+    """Lists of ids of documents and of their bodies as bytes (None: null)."""
+    if not lists:
+        yield from in_pieces(batches, ["doc_id", "body"], 8_000_000)
+        return
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            flat = b.column(1).flatten()
             values = flat.to_numpy(zero_copy_only=False)
             if flat.null_count or len(values) and not 0 <= values.min() <= values.max() < 1 << 8 * item:
                 raise ValueError(f"an id is null or does not fit in {item} bytes")
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(3)), 0).to_numpy(zero_copy_only=False))
-            yield [*(b.column(k).to_pylist() for k in range(3)), np.split(values.astype(f"<u{item}"), ends[:-1])[:len(b)]]
-    else:
-        yield from in_pieces(batches, ["file", "at", "doc_id", "body"], 8_000_000)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            yield b.column(0).to_pylist(), [x.tobytes() for x in np.split(values.astype(f"<u{item}"), ends[:-1])[:len(b)]]
 
 
 def _write_manifest(out_dir: str, what: dict) -> None:
