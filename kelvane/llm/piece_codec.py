@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct segments of a batch of texts (a segment is the spaces before a word and the word; no piece
+The distinct segments of a batch of texts that were not met before (a segment is the spaces before a word and the word; no piece
 of a vocabulary that is split this way runs on past a word) are joined to one text. Its suffix array, to
 the depth of the longest piece, is made from packed characters and ranks; every piece's range of occurrences is found by
 binary search, all pieces at once; the occurrences are edges (position, piece), which are sorted by position.
@@ -8,7 +8,8 @@ Edges are then relaxed: for BPE models the best adjacent pair that makes a piece
 left, for unigram models by the best path. Characters that no piece covers become byte pieces, or the
 unknown piece if the model has none.
 
-Null text: null ids; empty text: no ids. Decoding gives back the text, but for U+2581, which the
+Null text: null ids; empty text: no ids. A null id: its row stays; repeated rows are rows of their own; extra columns are not read.
+Vocabularies with pieces over 52 characters or over 2^20 pieces are refused (an edge is packed in 64 bits). Decoding gives back the text, but for U+2581, which the
 vocabulary itself takes for a space, and lone surrogates. Models with a normaliser other than `identity`
 need normalised text; user-defined symbols are refused.
 """
@@ -30,7 +31,7 @@ from .common import in_pieces
 
 SPACE = "▁"
 LONG = 64  # longer segments are joined one by one, with a heap
-CACHE = 400_000
+CACHE, LEARN, BATCH = 400_000, 1_500_000, 3_000_000
 NEVER = np.int32(2**31 - 1)
 _SEGMENT = re.compile(r" *[^ ]+| +\Z")
 
@@ -89,6 +90,8 @@ class Model:
         self.bytes = {int(self.pieces[i][3:5], 16): int(i) for i in np.flatnonzero(kinds == 6)}
         self.normal = [int(i) for i in np.flatnonzero((kinds == 1) | (kinds == 5))]
         self.depth = max(len(self.pieces[i]) for i in self.normal)
+        if self.depth > 52 or len(self.pieces) > 1 << 20:
+            raise ValueError("pieces of over 52 characters, or over 2^20 pieces, are not supported")
         #: words can be taken one by one if no piece has a space after another character
         self.by_word = not any(SPACE in self.pieces[i].lstrip(SPACE) for i in self.normal)
         chars = np.zeros((len(self.normal), self.depth), np.uint32)
@@ -362,13 +365,21 @@ class Codec:
         self.at, self.size, self.vals, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
 
     def _learn(self, keys: list[str]):
-        """Encodes segments that known has just numbered."""
+        """Encodes segments that known has just numbered, LEARN of their characters at a time or one segment: more would take more memory."""
+        ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)) + 2)
+        cuts = [0, *np.searchsorted(ends, np.arange(LEARN, int(ends[-1]), LEARN), "right").tolist(), len(keys)]
+        for a, b in itertools.pairwise(cuts):
+            if a < b:
+                self._learn_some(keys[a:b], len(self.known) - len(keys) + a)
+
+    def _learn_some(self, keys: list[str], n: int):
         ids, offsets = encode_segments([(SPACE + k.replace(" ", SPACE)) if self.model.by_word else k for k in keys], self.model)
-        n, m = len(self.known) - len(keys), len(self.known)
-        while m > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        while self.used + len(ids) > len(self.vals):
-            self.vals = np.concatenate([self.vals, np.zeros_like(self.vals)])
+        m = n + len(keys)
+        if m > len(self.at):
+            more = np.zeros(max(m, 2 * len(self.at)) - len(self.at), np.int64)
+            self.at, self.size = np.concatenate([self.at, more]), np.concatenate([self.size, more])
+        if self.used + len(ids) > len(self.vals):
+            self.vals = np.concatenate([self.vals, np.zeros(max(self.used + len(ids), 2 * len(self.vals)) - len(self.vals), np.int32)])
         self.at[n:m], self.size[n:m] = self.used + offsets[:-1], np.diff(offsets)
         self.vals[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
@@ -414,6 +425,12 @@ class Codec:
         return [out[a:b][m.prefix and out[a:a + 1] == b" ":] for a, b in itertools.pairwise(cut.tolist())]
 
 
+@functools.lru_cache(maxsize=1)
+def _codec(proto: bytes) -> Codec:
+    """One for a worker process, whose tasks come one after another: what it has learned stays."""
+    return Codec(Model(proto))
+
+
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean"
 
 
@@ -424,8 +441,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under 1 MB
 
     def run(batches):
-        codec = Codec(Model(shared.value))
-        for keys, texts in in_pieces(batches, ["doc_id", "text"], 6_000_000):
+        codec = _codec(shared.value)
+        for keys, texts in in_pieces(batches, ["doc_id", "text"], BATCH):
             ids, offsets = codec.encode([t or "" for t in texts])
             back = codec.decode(ids, offsets)
             here = [t is not None for t in texts]
@@ -449,8 +466,8 @@ def packed(docs: DataFrame, model_path: str, id_bytes: int = 2, id_col: str = "d
         raise ValueError(f"the vocabulary does not fit in {id_bytes} bytes")
 
     def run(batches):
-        codec = Codec(Model(shared.value))
-        for keys, texts in in_pieces(batches, ["doc_id", "text"], 6_000_000):
+        codec = _codec(shared.value)
+        for keys, texts in in_pieces(batches, ["doc_id", "text"], BATCH):
             ids, offsets = codec.encode([t or "" for t in texts])
             raw = ids.astype(f"<u{id_bytes}")
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([None if t is None else raw[a:b].tobytes() for t, (a, b) in zip(texts, itertools.pairwise(offsets.tolist()), strict=True)], pa.binary())], ["doc_id", "ids"])
@@ -464,7 +481,7 @@ def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
         shared = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        codec = Codec(Model(shared.value))
+        codec = _codec(shared.value)
         for batch in batches:
             keys, lists = batch.column(0), batch.column(1).to_pylist()
             flat = np.array(list(itertools.chain.from_iterable(x or [] for x in lists)), np.int64)
