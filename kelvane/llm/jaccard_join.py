@@ -227,8 +227,14 @@ def connect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that have a linked one with a smaller id; rows with a null id stay."""
-    gone = connect(docs, id_col=id_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    gone = staged(connect(docs, id_col=id_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    # texts of rows that the bitmap rules out stay where they are
+    held, bit = _bitmap(gone.select(F.col("__id").alias("id")))
+    key = F.col(f"`{id_col}`").cast("long")
+    marked = docs.withColumn("__slot", _slot(key)).join(F.broadcast(held.select(F.col("word").alias("__word"), F.col("held").alias("__held"))), F.expr("__slot div 64") == F.col("__word"), "left")
+    marked = marked.withColumn("__may", F.coalesce(bit("__held", "__slot"), F.lit(False)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where("not __may").select(*columns).unionByName(marked.where("__may").select(*columns).join(gone, key == F.col("__id"), "left_anti"))
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -357,9 +363,12 @@ def _heavy(tokens: DataFrame, rows: DataFrame, classes: DataFrame, width: int, p
     by_cluster = places.where("hi <= 1").select(F.col("leader").alias("group"), F.lit(False).alias("far"), "id", "lo", "hi")
     groups = staged(by_list.unionByName(by_cluster), "groups")
     # first, of each block, the links that would tie its components most closely; then all pairs of what is still apart
-    ties = staged(_measured(staged(_blocks(groups, comp, sketches, percent, True), "candidates"), rows, width, percent), "ties")
+    found = staged(_blocks(groups, comp, sketches, percent, True), "found")
+    ties = staged(_measured(staged(found.select("leader", "id").distinct(), "candidates"), rows, width, percent), "ties")
+    # a group in which no pair was possible has none now
+    groups = groups.join(found.select("group", "far").distinct(), ["group", "far"], "left_semi")
     linked = linked.unionByName(ties.where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    apart = _blocks(groups, staged(components(linked, "tied"), "tied-components"), sketches, percent, False)
+    apart = _blocks(groups, staged(components(linked, "tied"), "tied-components"), sketches, percent, False).select("leader", "id").distinct()
     more = _measured(staged(apart.join(ties.select("leader", "id"), ["leader", "id"], "left_anti"), "candidates"), rows, width, percent)
     return linked.unionByName(more.where("linked").select(F.col("id").alias("a"), F.col("leader").alias("b")))
 
@@ -388,15 +397,25 @@ def _least(n, m, diff):
     return np.maximum(2 * diff / (n + m + diff), 1 - np.minimum(n, m) / np.maximum(n, m))
 
 
+BITS = 1 << 23
+
+
+def _slot(c):
+    return F.pmod(F.xxhash64(c), F.lit(BITS))
+
+
+def _bitmap(ids: DataFrame):
+    """(a table of BITS hashed ids, 131,072 rows at most, to broadcast; the test of a slot in it)."""
+    words = ids.select(_slot("id").alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("held"))
+    return staged(words, "bitmap"), lambda held, slot: F.expr(f"(shiftrightunsigned({held}, cast({slot} % 64 as int)) & 1) = 1")
+
+
 def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df (id, ...) whose id is among ids. A bitmap of 2^23 hashed ids, broadcast (131,072 words at most), leaves out most of the
-    others before rows are moved; the join decides."""
-    bits = 1 << 23
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = ids.select(slot("id").alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("held"))
-    some = df.withColumn("__s", slot("id")).withColumn("word", F.expr("__s div 64")).join(F.broadcast(staged(words, "bitmap")), "word")
-    some = some.where(F.expr("(shiftrightunsigned(held, cast(__s % 64 as int)) & 1) = 1")).select(*df.columns)
-    return some.join(ids.select("id"), "id", "left_semi")
+    """The rows of df (id, ...) whose id is among ids. A broadcast bitmap leaves out most of the others before rows are moved; the
+    join decides."""
+    held, bit = _bitmap(ids)
+    some = df.withColumn("__slot", _slot("id")).withColumn("word", F.expr("__slot div 64")).join(F.broadcast(held), "word")
+    return some.where(bit("held", "__slot")).select(*df.columns).join(ids.select("id"), "id", "left_semi")
 
 
 def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
@@ -429,11 +448,11 @@ def _measured(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     return joined.select("leader", "lead_text", "id", "text").mapInArrow(measure, "leader long, id long, d double, linked boolean")
 
 
-PART = 1024
+PART = 512
 
 
 def _blocks(groups: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int, ties: bool) -> DataFrame:
-    """Pairs (leader, id) still to be measured: members of one group (a cluster or, with far, a list) that are in different components
+    """Pairs (leader, id), and their group, still to be measured: members of one group (a cluster or, with far, a list) that are in different components
     so far and that neither their distances from its leader (between lo and hi) nor sizes and sketches rule out.
     far: only pairs with a member whose distance is not known. ties: of the pairs that meet in a block only a forest over their
     components, of those whose sketches differ least, so that there are no more pairs than members."""
@@ -485,10 +504,11 @@ def _blocks(groups: DataFrame, comp: DataFrame, sketches: DataFrame, percent: in
                 both = np.concatenate(out)
                 if ties:
                     both = _forest(both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))])
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(both[:, 2])], ["leader", "id"])
+                where = [pa.array([g[b][0]] * len(both), kind) for b, kind in (("b0", pa.int64()), ("b1", pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*where, pa.array(both[:, 1]), pa.array(both[:, 2])], ["group", "far", "leader", "id"])
 
     # one group after another in sorted partitions: a call for each of many small groups would cost more than its work
-    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(meet, "leader long, id long").distinct()
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(meet, "group long, far boolean, leader long, id long")
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:

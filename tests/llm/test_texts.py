@@ -397,3 +397,227 @@ def test_mixing_odd_rows(spark, odd):
     out = mixing.realise(odd, per)
     assert out.columns[:6] == odd.columns and out.select("doc_id").distinct().count() == 14 and out.where("doc_id = 5").count() % 2 == 0
     assert mixing.mix(odd.limit(0), max_repeats=2).collect() == []
+
+
+# ---- brute force: mixing, language scores, fingerprints, the Feistel network ----
+
+def test_mixture_by_brute_force(spark):
+    """Which documents the partial epoch takes, remade one document after another from the keys."""
+    r = random.Random(16)
+    rows = [(i, "w " * r.randrange(0, 30), None, r.choice(["big"] * 9 + ["mid"] * 3 + ["small", None]), None, None) for i in range(700)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for options in ({"max_repeats": 3}, {"target_entropy": 0.9}, {"max_repeats": 2, "total": 2500.0}):
+        per, narrow = mixing.plan(docs, **options)
+        plan = {p["skey"]: p for p in per.collect()}
+        tokens = {}
+        for i, t, _, s, *_ in rows:
+            k = "null" if s is None else "=" + s
+            tokens[k] = tokens.get(k, 0) + len(t.split())
+        # the exponent: the largest on a fine grid at which the weights are still as flat as asked for is next to the bisected one
+        a = mixing.bisect(tokens, **options)
+        total = options.get("total") or max(n / (n ** a / sum(x ** a for x in tokens.values())) for n in tokens.values())
+        want = {}
+        keyed = narrow.join(per.select("skey", "blocks", "epochs"), "skey").select("*", mixing._block(F.col("doc_id"), F.col("blocks"), mixing.SEED).alias("block"))
+        keyed = keyed.select("*", mixing._block_key(F.col("skey"), F.col("block"), F.col("epochs"), mixing.SEED).alias("bkey"), mixing._doc_key(F.col("doc_id"), mixing.SEED).alias("dkey")).collect()
+        for k, n in tokens.items():
+            budget = int(n ** a / sum(x ** a for x in tokens.values()) * total + 1e-6)
+            assert abs(budget - plan[k]["budget"]) <= 1
+            epochs, room = divmod(plan[k]["budget"], n)
+            mine = sorted((x for x in keyed if x["skey"] == k), key=lambda x: (x["bkey"], x["dkey"]))
+            for x in mine:
+                want[x["doc_id"]] = epochs
+            blocks = {}
+            for x in mine:
+                blocks.setdefault(x["bkey"], []).append(x)
+            for key in sorted(blocks):
+                held = sum(x["n_tokens"] for x in blocks[key])
+                if held <= room:
+                    room -= held
+                    for x in blocks[key]:
+                        want[x["doc_id"]] += budget % n > 0 or plan[k]["rest"] > 0
+                    continue
+                for x in blocks[key]:
+                    if x["n_tokens"] > room:
+                        break
+                    room -= x["n_tokens"]
+                    want[x["doc_id"]] += plan[k]["rest"] > 0
+                break
+        got = {}
+        for x in mixing.mix(docs, **options).collect():
+            got[x["doc_id"]] = got.get(x["doc_id"], 0) + 1
+        assert got == {i: n for i, n in want.items() if n}, options
+
+
+def test_scores_by_plain_naive_bayes():
+    """Counts and scores of n-grams in dictionaries, one n-gram at a time."""
+    import math
+
+    train = [("aa", "la casa blanca y la otra"), ("aa", "casa de la playa"), ("bb", "the white house and the other"), ("bb", "Where? There!")]
+    langs, counts = ["aa", "bb"], np.zeros((2, langid.BUCKETS))
+
+    def grams(t):
+        low, out = t.lower(), []
+        for n in langid.ORDERS:
+            for k in range(len(low) - n + 1):
+                h = 0
+                for j, c in enumerate(low[k:k + n]):
+                    h = (h ^ ord(c)) * int(langid._MULT[j % 3]) & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.append(((h * 0x27D4EB2F & 0xFFFFFFFF) >> 16) % (langid.BUCKETS - 1) + 1)
+        return out
+
+    for lang, t in train:
+        for g in grams(t):
+            counts[langs.index(lang), g] += 1
+        parts, _ = langid.hashed([t])
+        assert sorted(x for p in parts for x in p.tolist() if x) == sorted(grams(t))
+    seen = {g for _, t in train for g in grams(t)}
+    logs = np.zeros((2, langid.BUCKETS), np.float32)
+    for k in range(2):
+        for g in seen:
+            logs[k, g] = math.log(counts[k, g] + langid.ALPHA) - math.log(counts[k].sum() + langid.ALPHA * len(seen))
+    texts = ["la casa", "the house", "zzz qqq", "x", "other otra the", "Там дом casa"]
+    pred, score = langid.score_texts(texts, langs, np.ascontiguousarray(logs.T))
+    for t, p, s in zip(texts, pred, score, strict=True):
+        used = [g for g in grams(t) if g in seen]
+        mean = [sum(float(logs[k, g]) for g in used) / max(1, len(used)) * min(len(used), langid.EVIDENCE) for k in range(2)]
+        e = [math.exp(m - max(mean)) for m in mean]
+        best = 0 if mean[0] >= mean[1] else 1
+        assert p == langs[best] and abs(s - e[best] / sum(e)) < 1e-6, t
+
+
+def test_slots_by_a_plain_feistel_network():
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    for n, key in ((1, 3), (2, 3), (5, token_shards.KEY), (1000, token_shards.KEY), (65537, 9)):
+        half = 1
+        while 1 << 2 * half < n:
+            half += 1
+        keys = [mix((k * 0x9E3779B97F4A7C15 + key) & mask) for k in range(1, token_shards.ROUNDS + 1)]
+        got = token_shards.permute(np.arange(min(n, 3000)), n, key).tolist()
+        for i, slot in enumerate(got):
+            x = i
+            while True:
+                left, right = x >> half, x & ((1 << half) - 1)
+                for k in keys:
+                    left, right = right, left ^ (mix((right + k) & mask) & ((1 << half) - 1))
+                x = left << half | right
+                if x < n:
+                    break
+            assert slot == x, (n, i)
+
+
+def test_shards_do_not_hang_on_input_splits(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("abcdef ") for _ in range(r.randrange(200))), None, None, None, None) for i in range(400)]
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs, was = spark.read.parquet(str(tmp_path / "docs")), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    out = f"file://{tmp_path}/shards"
+    got = token_shards.materialise(docs, out, length=16, per_shard=64)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        shown = got.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted(x["slot"] for x in shown) == list(range(len(shown))) == [x[0] for x in token_shards.read(out)]
+    text = dict((i, t.encode()) for i, t, *_ in rows)
+    for _, doc, seq, part in token_shards.read(out):
+        assert part.tobytes() == text[doc][seq * 16:seq * 16 + 16]
+
+
+def spark_hash(value, seed=42):
+    """xxhash64 of a long as Spark has it."""
+    mask, p = (1 << 64) - 1, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+    rot = lambda x, k: (x << k | x >> (64 - k)) & mask
+    h = (seed + p[4] + 8) & mask
+    h ^= rot((value & mask) * p[1] & mask, 31) * p[0] & mask
+    h = (rot(h, 27) * p[0] + p[3]) & mask
+    h = (h ^ h >> 33) * p[1] & mask
+    h = (h ^ h >> 29) * p[2] & mask
+    return h ^ h >> 32
+
+
+def test_fingerprints_by_plain_one_permutation_minhash(spark):
+    """Bins, minima, densification and low-order bits remade one shingle at a time, over Spark's hashes of the words."""
+    r = random.Random(44)
+    say = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "x%d" % r.randrange(40)]) for _ in range(n))
+    texts = [say(n) for n in (1, 2, 4, 5, 6, 9, 40, 300, 1500)] + ["one\ttwo\n three", "é ü é ü é ü é"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["fp"] for x in fingerprints.with_fingerprint(rows, "text", "fp").collect()}
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    word = {x["w"]: x["h"] for x in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    bins = fingerprints.BINS
+    low = (1 << 64 - bins.bit_length() + 1) - 1
+    both = lambda a, b, seed=42: spark_hash(b, spark_hash(a, seed))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def of_int(value, seed=42):  # xxhash64 of an int
+        mask = (1 << 64) - 1
+        h = (seed + 0x27D4EB2F165667C5 + 4) & mask
+        h ^= (value & 0xFFFFFFFF) * 0x9E3779B185EBCA87 & mask
+        h = ((h << 23 | h >> 41) & mask) * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9 & mask
+        h = (h ^ h >> 33) * 0xC2B2AE3D27D4EB4F & mask
+        h = (h ^ h >> 29) * 0x165667B19E3779F9 & mask
+        return h ^ h >> 32
+
+    for i, t in enumerate(texts):
+        run = words = [word[w] for w in t.split()]
+        have = 1
+        while have < fingerprints.SHINGLE:  # pairs, then fours, then one word more; none where the text has ended
+            more = have if 2 * have <= fingerprints.SHINGLE else 1
+            other = run if more == have else words
+            after = [*other[have:], *[None] * have]
+            run = [signed(both(x, y)) if y is not None else signed(spark_hash(x)) for x, y in zip(run, after)]
+            have += more
+        run = run[:max(1, len(words) - fingerprints.SHINGLE + 1)]
+        least = [None] * bins
+        for h in run:
+            b = (h >> 64 - bins.bit_length() + 1) + bins // 2
+            if h & low != low and (least[b] is None or h < least[b]):
+                least[b] = h
+        out = ""
+        for j in range(bins):
+            code = least[j]
+            for k in range(fingerprints.PROBES):
+                if code is None:
+                    code = least[signed(of_int(k, of_int(j))) % bins]
+            if code is None:
+                code = min((signed(spark_hash(c >> 64 - bins.bit_length() + 1, of_int(j))), c) for c in least if c is not None)[1]
+            out += "%x" % (of_int(j, spark_hash(code)) & 15)
+        assert got[i] == out, (i, t[:40])
+
+
+# A set written by hand, none of it made by the generator that the network learns from.
+BY_HAND = [
+    ("Write to anna.berg@post.example.org before Friday.", [("email", "anna.berg@post.example.org")]),
+    ("Reach me at j_smith+news@mail.co.uk, thanks", [("email", "j_smith+news@mail.co.uk")]),
+    ("The host 192.168.4.17 refused the connection", [("ip", "192.168.4.17")]),
+    ("ping 10.0.0.1 and 10.0.0.254 again", [("ip", "10.0.0.1"), ("ip", "10.0.0.254")]),
+    ("charged to 4111 1111 1111 1111 in March", [("card", "4111 1111 1111 1111")]),
+    ("card no. 5500-0000-0000-0004 expired", [("card", "5500-0000-0000-0004")]),
+    ("call +44 20 7946 0958 after six", [("phone", "+44 20 7946 0958")]),
+    ("her number is +1 (415) 555-0132.", [("phone", "+1 (415) 555-0132")]),
+    ("In 1984 there were 42 pages and 3.5 tons.", []),
+    ("Version 2.10.4 was released on 2021-03-04.", []),
+    ("The meeting @ noon was moved to room 12.", []),
+    ("Order 12345678 shipped in 3 boxes.", []),
+]
+
+
+def test_recall_and_precision_by_hand():
+    net = pii.default_tagger()
+    found, gold, right, wrong = {}, {}, {}, {}
+    for t, want in BY_HAND:
+        spans = {(k, t[a:b]) for k, a, b in [*pii.base_spans(t), *pii.proposals(net, [t])[0]]}
+        for k, x in want:
+            gold[k] = gold.get(k, 0) + 1
+            right[k] = right.get(k, 0) + ((k, x) in spans)
+        for k, _ in spans - set(want):
+            wrong[k] = wrong.get(k, 0) + 1
+    print({k: (right[k], gold[k], wrong.get(k, 0)) for k in gold}, found)
+    assert all(right[k] >= 0.9 * gold[k] for k in gold) and sum(wrong.values()) <= 1
