@@ -25,13 +25,13 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import in_pieces
 
 SPACE = "▁"
 LONG = 64  # longer segments are joined one by one, with a heap
-CACHE, LEARN, BATCH = 400_000, 1_500_000, 3_000_000
+CACHE, LEARN, BATCH = 400_000, 200_000, 3_000_000
 NEVER = np.int32(2**31 - 1)
 _SEGMENT = re.compile(r" *[^ ]+| +\Z")
 
@@ -354,16 +354,33 @@ class _Numbers(dict):
 
 
 class Codec:
-    """Encodes and decodes batches; segments met before are kept, at most CACHE of them."""
+    """Encodes and decodes batches; segments met before are kept. Of more than CACHE those stay that were met most often, a quarter of
+    CACHE at most."""
 
     def __init__(self, model: Model):
         self.model = model
         self._clear()
 
     def _clear(self):
-        self.known = _Numbers()
+        self.known, self.met = _Numbers(), np.zeros(0, np.int64)
         self.at, self.size, self.vals, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
 
+    def _thin(self):
+        """Drops segments that were met once, and the rarer ones beyond a quarter of CACHE; counts begin anew."""
+        often = np.flatnonzero(self.met > 1)
+        often = np.sort(often[np.argsort(-self.met[often], kind="stable")[:CACHE // 4]])
+        keys = list(self.known)
+        known = [keys[k] for k in often.tolist()]
+        at, size, vals = self.at[often], self.size[often], self.vals
+        self._clear()
+        if not known:
+            return
+        self.known.update(zip(known, range(len(known))))
+        self.met, ends = np.zeros(len(known), np.int64), np.cumsum(size)
+        self.used = int(ends[-1])
+        self.vals = vals[np.repeat(at - (ends - size), size) + np.arange(self.used)]
+        self.at, self.size = ends - size, size
+
     def _learn(self, keys: list[str]):
         """Encodes segments that known has just numbered, LEARN of their characters at a time or one segment: more would take more memory."""
         ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)) + 2)
@@ -401,13 +418,16 @@ class Codec:
         if self.model.by_word and not self.model.prefix:
             raise ValueError("models without a prefix space are not supported")
         if len(self.known) > CACHE:
-            self._clear()
+            self._thin()
         words = [self._keys(t) for t in texts]
         flat = list(itertools.chain.from_iterable(words))
         codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         if self.known.new:
             self._learn(self.known.new)
             self.known.new = []
+        count = np.bincount(codes, minlength=len(self.known))
+        count[:len(self.met)] += self.met
+        self.met = count
         size = self.size[codes]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -452,21 +472,22 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
 
 
-def packed(docs: DataFrame, model_path: str, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids as little-endian integers of id_bytes) for each row: encode without the hash and the check of the way back."""
+def packer(spark: SparkSession, model_path: str, id_bytes: int = 2):
+    """A function of Arrow batches that gives lists of their first column and of the ids of their last, a text, as little-endian integers of
+    id_bytes: encode without the hash and the check of the way back."""
     with open(model_path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under 1 MB
+        shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file: under 1 MB
     if len(Model(shared.value).pieces) > 1 << 8 * id_bytes:
         raise ValueError(f"the vocabulary does not fit in {id_bytes} bytes")
 
     def run(batches):
         codec = Codec(Model(shared.value))
-        for keys, texts in in_pieces(batches, ["doc_id", "text"], BATCH):
+        for keys, texts in in_pieces(batches, ["doc_id", "body"], BATCH):
             ids, offsets = codec.encode([t or "" for t in texts])
             raw = ids.astype(f"<u{id_bytes}")
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([None if t is None else raw[a:b].tobytes() for t, (a, b) in zip(texts, itertools.pairwise(offsets.tolist()), strict=True)], pa.binary())], ["doc_id", "ids"])
+            yield keys, [None if t is None else raw[a:b].tobytes() for t, (a, b) in zip(texts, itertools.pairwise(offsets.tolist()), strict=True)]
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, ids binary")
+    return run
 
 
 def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -23,7 +23,7 @@ def op2_temperature_mixing(spark, sf_dir):
 
 def op3_training_order(spark, sf_dir):
     """Ids of the vocabulary, two bytes each, staged once to be counted and dealt. Without the path, which is new in each run."""
-    return token_shards.materialise(piece_codec.packed(table(spark, sf_dir, "documents"), vocabulary()), ids_col="ids", id_bytes=2).drop("path")
+    return token_shards.materialise(table(spark, sf_dir, "documents"), pack=piece_codec.packer(spark, vocabulary(), 2), id_bytes=2).drop("path")
 
 
 def op4_language_id(spark, sf_dir):

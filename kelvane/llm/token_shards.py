@@ -10,8 +10,8 @@ Ids are those of a column of ids, two or four bytes each (one that is null or do
 hold them packed, little-endian), or without one the bytes of the text's UTF-8 (a byte vocabulary, one byte each). A record is: document id (int64), number of the sequence in it (uint32), how many ids it has (uint32), then LENGTH
 ids, unused ones 0; all little-endian.
 
-Numbering needs no shuffle: the rows are staged with the number of their task and how many sequences came before them in it, so that
-numbers hang on the staged rows and on no plan of input splits; counts of tasks (MAX_SPLITS at most, 16 bytes each, broadcast)
+Numbering needs no shuffle: documents are staged in packs of some MB with the number of their task and how many sequences came before them in it, so that
+numbers hang on the staged packs and on no plan of input splits; counts of tasks (MAX_SPLITS at most, 16 bytes each, broadcast)
 give each task its base. Sequences travel to their shard in compressed runs. Shards are
 written under a temporary name and moved, so a task that is lost or run twice leaves whole files; the manifest is written when all of them
 are there.
@@ -20,6 +20,7 @@ Null or empty text or ids: no sequences. A null id is stored as the least int64.
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 
@@ -34,7 +35,7 @@ from pyspark.sql.types import BinaryType
 
 from .common import fresh_path, in_pieces, staged
 
-LENGTH, PER_SHARD, KEY, ROUNDS, MAX_SPLITS = 512, 16384, 0x5EED, 6, 2_000_000
+LENGTH, PER_SHARD, KEY, ROUNDS, MAX_SPLITS, LEVEL = 512, 16384, 0x5EED, 6, 2_000_000, 6
 NO_ID = -(1 << 63)
 
 
@@ -66,29 +67,32 @@ def permute(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
     return out.astype(np.int64)
 
 
-def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, id_bytes: int = 2) -> DataFrame:
+def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, id_bytes: int = 2, pack=None) -> DataFrame:
     """Writes the shards and a manifest to out_dir (by default a new folder in the shared one) and gives, for each
-    sequence, (doc_id, seq_no, slot, shard, offset, n_ids, path)."""
+    sequence, (doc_id, seq_no, slot, shard, offset, n_ids, path). With pack (batches of (doc_id, body) to lists of ids of documents and
+    of their ids, packed), the text is encoded in the task that numbers it."""
     spark = docs.sparkSession
     out_dir = out_dir or fresh_path(spark, "shards")
-    item = id_bytes if ids_col else 1
+    item = id_bytes if ids_col or pack else 1
     lists = bool(ids_col) and not isinstance(docs.schema[ids_col].dataType, BinaryType)
-    body = F.col(ids_col).cast("array<long>") if lists else F.col(ids_col) if ids_col else F.encode(F.col(text_col).cast("string"), "UTF-8")
+    text = F.col(text_col).cast("string")
+    body = F.col(ids_col).cast("array<long>") if lists else F.col(ids_col) if ids_col else text if pack else F.encode(text, "UTF-8")
     width = length * item
 
     def number(batches):
         task, before = TaskContext.get().partitionId(), 0
-        for ids, bodies in _pieces(batches, lists, item):
-            sizes = np.array([0 if x is None else -(-len(x) // width) for x in bodies], np.int64)
-            keep = np.flatnonzero(sizes).tolist()
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        for ids, bodies in pack(batches) if pack else _pieces(batches, lists, item):
+            keep = [k for k, x in enumerate(bodies) if x]
             if not keep:
                 continue
-            sizes = sizes[keep]
-            first = before + np.cumsum(sizes) - sizes
-            before += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), task, np.int32)), pa.array(first), pa.array(sizes), pa.array([ids[k] for k in keep], pa.int64()), pa.array([bodies[k] for k in keep], pa.binary())], ["task", "first", "n", "doc_id", "body"])
+            heads = np.array([[NO_ID if ids[k] is None else ids[k], len(bodies[k])] for k in keep], "<i8")
+            n = int((-(-heads[:, 1] // width)).sum())
+            packed = squeeze.compress(heads.tobytes() + b"".join([bodies[k] for k in keep]))
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([len(keep)], pa.int64()), pa.array([packed], pa.binary())], ["task", "first", "n", "docs", "packed"])
+            before += n
 
-    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).mapInArrow(number, "task int, first long, n long, doc_id long, body binary"), "sequences")
+    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).mapInArrow(number, "task int, first long, n long, docs long, packed binary"), "sequences", "none")
     counts = rows.groupBy("task").agg(F.sum("n").alias("n")).limit(MAX_SPLITS + 1).collect()
     if len(counts) > MAX_SPLITS:
         raise ValueError(f"more than {MAX_SPLITS} tasks: give docs fewer partitions")
@@ -99,33 +103,32 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
     shared = spark.sparkContext.broadcast(np.cumsum(sizes) - sizes)
 
     def deal(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        squeeze, open_ = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         held: dict[int, list[bytes]] = {}
         weight = 0
 
         def flush():
-            pairs = [(shard, pack.compress(b"".join(held[shard]))) for shard in sorted(held)]
+            pairs = [(shard, squeeze.compress(b"".join(held[shard]))) for shard in sorted(held)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.binary())], ["shard", "run"])
 
-        for tasks, firsts, ns, ids, bodies in in_pieces(batches, ["task", "first", "n", "doc_id", "body"], 8_000_000):
-            n = np.array(ns, np.int64)
-            seq = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            slots = permute(np.repeat(shared.value[np.array(tasks)] + np.array(firsts), n) + seq, total, key)
-            used = np.minimum(np.repeat([len(x) for x in bodies], n) - seq * width, width) // item
-            head = np.zeros(len(seq), [("slot", "<i8"), ("id", "<i8"), ("seq", "<u4"), ("used", "<u4")])
-            head["slot"], head["seq"], head["used"] = slots, seq, used
-            head["id"] = np.repeat([NO_ID if i is None else i for i in ids], n)
-            raw, shards, at = head.tobytes(), (slots // per_shard).tolist(), 0
-            for x, m in zip(bodies, n.tolist(), strict=True):
-                for k in range(m):
-                    part = x[k * width:(k + 1) * width]
-                    held.setdefault(shards[at], []).append(raw[at * 24:at * 24 + 24] + (part if len(part) == width else part.ljust(width, b"\0")))
-                    at += 1
-            weight += len(seq) * (24 + width)
-            if weight > 64_000_000:
-                weight = 0
-                yield flush()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                task, first, n, docs_here, packed = (batch.column(c)[k].as_py() for c in ("task", "first", "n", "docs", "packed"))
+                raw = open_.decompress(packed)
+                heads = np.frombuffer(raw, "<i8", 2 * docs_here).reshape(-1, 2)
+                records = _records(heads[:, 0], heads[:, 1], np.frombuffer(raw, f"<u{item}", offset=16 * docs_here), length, item)
+                records["slot"] = permute(shared.value[task] + first + np.arange(n), total, key)
+                shards = records["slot"] // per_shard
+                order = np.argsort(shards, kind="stable")
+                records, shards = records[order], shards[order]
+                cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), n]
+                for a, b in itertools.pairwise(cuts):
+                    held.setdefault(int(shards[a]), []).append(records[a:b].tobytes())
+                weight += records.nbytes
+                if weight > 64_000_000:
+                    weight = 0
+                    yield flush()
         if held:
             yield flush()
 
@@ -159,6 +162,20 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
     return out
 
 
+def _records(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, length: int, item: int) -> np.ndarray:
+    """The sequences of documents whose ids lie one after another in flat, padded with 0; sizes are in bytes. Slots are not set."""
+    used = sizes // item
+    n = -(-used // length)
+    first = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), [("slot", "<i8"), ("id", "<i8"), ("seq", "<u4"), ("used", "<u4"), ("body", f"<u{item}", (length,))])
+    body = np.zeros(len(out) * length, f"<u{item}")
+    body[np.arange(len(flat)) + np.repeat(first * length - (np.cumsum(used) - used), used)] = flat
+    out["body"] = body.reshape(-1, length)
+    out["id"], out["seq"] = np.repeat(ids, n), np.arange(len(out)) - np.repeat(first, n)
+    out["used"] = np.minimum(np.repeat(used, n) - out["seq"].astype(np.int64) * length, length)
+    return out
+
+
 def _pieces(batches, lists, item):
     """Lists of ids of documents and of their bodies as bytes (None: null)."""
     if not lists:

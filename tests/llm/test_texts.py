@@ -621,3 +621,16 @@ def test_recall_and_precision_by_hand():
             wrong[k] = wrong.get(k, 0) + 1
     print({k: (right[k], gold[k], wrong.get(k, 0)) for k in gold}, found)
     assert all(right[k] >= 0.9 * gold[k] for k in gold) and sum(wrong.values()) <= 1
+
+
+def test_codec_forgets_and_still_encodes(monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdeé\n") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(60))) for _ in range(200)]
+    model = piece_codec.load(queries.vocabulary())
+    want = piece_codec.Codec(model).encode(texts)
+    monkeypatch.setattr(piece_codec, "CACHE", 100)
+    codec, got = piece_codec.Codec(model), []
+    for k in range(0, 200, 5):
+        ids, offsets = codec.encode(texts[k:k + 5])
+        got += [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert got == [want[0][a:b].tolist() for a, b in zip(want[1], want[1][1:])]
