@@ -35,7 +35,8 @@ from pyspark.sql.types import BinaryType
 
 from .common import fresh_path, in_pieces, staged
 
-LENGTH, PER_SHARD, KEY, ROUNDS, MAX_SPLITS, LEVEL = 512, 16384, 0x5EED, 6, 2_000_000, 6
+LENGTH, PER_SHARD, KEY, ROUNDS, MAX_SPLITS = 512, 16384, 0x5EED, 6, 2_000_000
+STAGED_LEVEL, RUN_LEVEL = 9, 6  # of zstd
 NO_ID = -(1 << 63)
 
 
@@ -81,7 +82,7 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
 
     def number(batches):
         task, before = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        squeeze = zstandard.ZstdCompressor(level=STAGED_LEVEL)
         for ids, bodies in pack(batches) if pack else _pieces(batches, lists, item):
             keep = [k for k, x in enumerate(bodies) if x]
             if not keep:
@@ -103,12 +104,12 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
     shared = spark.sparkContext.broadcast(np.cumsum(sizes) - sizes)
 
     def deal(batches):
-        squeeze, open_ = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
-        held: dict[int, list[bytes]] = {}
+        squeeze, open_ = zstandard.ZstdCompressor(level=RUN_LEVEL), zstandard.ZstdDecompressor()
+        held: dict[int, list[np.ndarray]] = {}
         weight = 0
 
         def flush():
-            pairs = [(shard, squeeze.compress(b"".join(held[shard]))) for shard in sorted(held)]
+            pairs = [(shard, squeeze.compress(_run(np.concatenate(held[shard]), length))) for shard in sorted(held)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.binary())], ["shard", "run"])
 
@@ -124,7 +125,7 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
                 records, shards = records[order], shards[order]
                 cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), n]
                 for a, b in itertools.pairwise(cuts):
-                    held.setdefault(int(shards[a]), []).append(records[a:b].tobytes())
+                    held.setdefault(int(shards[a]), []).append(records[a:b])
                 weight += records.nbytes
                 if weight > 64_000_000:
                     weight = 0
@@ -138,11 +139,10 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
         import pandas as pd
         from pyarrow import fs
 
-        shard, stride = int(pdf["shard"].iloc[0]), 24 + length * item
+        shard, stride = int(pdf["shard"].iloc[0]), 16 + length * item
         unpack = zstandard.ZstdDecompressor()
-        raw = b"".join(unpack.decompress(r) for r in pdf["run"])
-        records = np.frombuffer(raw, np.uint8).reshape(-1, stride)
-        slots = records[:, :8].copy().view("<i8")[:, 0]
+        records = np.concatenate([_of_run(unpack.decompress(r), length, item) for r in pdf["run"]])
+        slots = records["slot"]
         order = np.argsort(slots)
         records, slots = records[order], slots[order]
         if len(np.unique(slots)) != len(slots) or len(slots) != min(per_shard, total - shard * per_shard):
@@ -151,23 +151,44 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
         where.create_dir(folder, recursive=True)
         name, temp = f"{folder}/shard-{shard:08d}.bin", f"{folder}/.shard-{shard:08d}.{uuid.uuid4().hex}"
         with where.open_output_stream(temp) as f:
-            f.write(np.ascontiguousarray(records[:, 8:]).tobytes())
+            f.write(records[["id", "seq", "used", "body"]].astype(_record(length, item)[1:]).tobytes())
         where.move(temp, name)
-        ids = records[:, 8:16].copy().view("<i8")[:, 0]
-        rest = records[:, 16:24].copy().view("<u4")
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64").copy() if (ids != NO_ID).all() else pd.Series(ids, dtype="Int64").where(pd.Series(ids != NO_ID)), "seq_no": rest[:, 0].astype(np.int64), "slot": slots, "shard": shard, "offset": (slots - shard * per_shard) * (stride - 8), "n_ids": rest[:, 1].astype(np.int64), "path": name})
+        ids = records["id"]
+        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64").where(pd.Series(ids != NO_ID)), "seq_no": records["seq"].astype(np.int64), "slot": slots, "shard": shard, "offset": (slots - shard * per_shard) * stride, "n_ids": records["used"].astype(np.int64), "path": name})
 
     out = staged(runs.groupBy("shard").applyInPandas(write, "doc_id long, seq_no long, slot long, shard long, offset long, n_ids long, path string"), "slots")
     _write_manifest(out_dir, {"n": total, "length": length, "per_shard": per_shard, "id_bytes": item, "stride": 16 + length * item, "key": key, "rounds": ROUNDS})
     return out
 
 
+def _record(length: int, item: int) -> list[tuple]:
+    return [("slot", "<i8"), ("id", "<i8"), ("seq", "<u4"), ("used", "<u4"), ("body", f"<u{item}", (length,))]
+
+
+def _run(records: np.ndarray, length: int) -> bytes:
+    """Records by columns, without what pads them: how many, slots, ids, numbers, sizes, bodies."""
+    heads = [np.ascontiguousarray(records[c]).tobytes() for c in ("slot", "id", "seq", "used")]
+    return b"".join([np.int64(len(records)).tobytes(), *heads, records["body"][np.arange(length) < records["used"][:, None]].tobytes()])
+
+
+def _of_run(raw: bytes, length: int, item: int) -> np.ndarray:
+    n, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
+    out = np.zeros(n, _record(length, item))
+    for c, kind in (("slot", "<i8"), ("id", "<i8"), ("seq", "<u4"), ("used", "<u4")):
+        out[c] = np.frombuffer(raw, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    body = np.zeros((n, length), f"<u{item}")
+    body[np.arange(length) < out["used"][:, None]] = np.frombuffer(raw, f"<u{item}", offset=at)
+    out["body"] = body
+    return out
+
+
 def _records(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, length: int, item: int) -> np.ndarray:
     """The sequences of documents whose ids lie one after another in flat, padded with 0; sizes are in bytes. Slots are not set."""
     used = sizes // item
     n = -(-used // length)
     first = np.cumsum(n) - n
-    out = np.zeros(int(n.sum()), [("slot", "<i8"), ("id", "<i8"), ("seq", "<u4"), ("used", "<u4"), ("body", f"<u{item}", (length,))])
+    out = np.zeros(int(n.sum()), _record(length, item))
     body = np.zeros(len(out) * length, f"<u{item}")
     body[np.arange(len(flat)) + np.repeat(first * length - (np.cumsum(used) - used), used)] = flat
     out["body"] = body.reshape(-1, length)
