@@ -37,6 +37,7 @@ from .common import fresh_path, in_pieces, staged
 
 LENGTH, PER_SHARD, KEY, ROUNDS, MAX_SPLITS = 512, 16384, 0x5EED, 6, 2_000_000
 STAGED_LEVEL, RUN_LEVEL = 9, 6  # of zstd
+PACK, SLICE = 16_000_000, 1_000_000  # bytes of a staged pack, ids dealt at once
 NO_ID = -(1 << 63)
 
 
@@ -83,15 +84,25 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
     def number(batches):
         task, before = TaskContext.get().partitionId(), 0
         squeeze = zstandard.ZstdCompressor(level=STAGED_LEVEL)
-        for ids, bodies in pack(batches) if pack else _pieces(batches, lists, item):
-            keep = [k for k, x in enumerate(bodies) if x]
-            if not keep:
-                continue
-            heads = np.array([[NO_ID if ids[k] is None else ids[k], len(bodies[k])] for k in keep], "<i8")
-            n = int((-(-heads[:, 1] // width)).sum())
-            packed = squeeze.compress(heads.tobytes() + b"".join([bodies[k] for k in keep]))
-            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([len(keep)], pa.int64()), pa.array([packed], pa.binary())], ["task", "first", "n", "docs", "packed"])
+        heads: list[tuple[int, int]] = []
+        held: list[bytes] = []
+
+        def packs(last):
+            nonlocal before
+            if not heads or not last and sum(map(len, held)) < PACK:
+                return
+            n = sum(-(-size // width) for _, size in heads)
+            packed = squeeze.compress(np.array(heads, "<i8").tobytes() + b"".join(held))
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([len(heads)], pa.int64()), pa.array([packed], pa.binary())], ["task", "first", "n", "docs", "packed"])
             before += n
+            heads.clear()
+            held.clear()
+
+        for ids, bodies in pack(batches) if pack else _pieces(batches, lists, item):
+            heads += [(NO_ID if i is None else i, len(x)) for i, x in zip(ids, bodies, strict=True) if x]
+            held += [x for x in bodies if x]
+            yield from packs(False)
+        yield from packs(True)
 
     rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).mapInArrow(number, "task int, first long, n long, docs long, packed binary"), "sequences", "none")
     counts = rows.groupBy("task").agg(F.sum("n").alias("n")).limit(MAX_SPLITS + 1).collect()
@@ -115,18 +126,21 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
 
         for batch in batches:
             for k in range(batch.num_rows):
-                task, first, n, docs_here, packed = (batch.column(c)[k].as_py() for c in ("task", "first", "n", "docs", "packed"))
+                task, first, docs_here, packed = (batch.column(c)[k].as_py() for c in ("task", "first", "docs", "packed"))
                 raw = open_.decompress(packed)
                 heads = np.frombuffer(raw, "<i8", 2 * docs_here).reshape(-1, 2)
-                records = _records(heads[:, 0], heads[:, 1], np.frombuffer(raw, f"<u{item}", offset=16 * docs_here), length, item)
-                records["slot"] = permute(shared.value[task] + first + np.arange(n), total, key)
-                shards = records["slot"] // per_shard
-                order = np.argsort(shards, kind="stable")
-                records, shards = records[order], shards[order]
-                cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), n]
-                for a, b in itertools.pairwise(cuts):
-                    held.setdefault(int(shards[a]), []).append(records[a:b])
-                weight += records.nbytes
+                flat, ends = np.frombuffer(raw, f"<u{item}", offset=16 * docs_here), np.cumsum(heads[:, 1] // item)
+                # some documents at a time: indices take more memory than ids
+                for a, b in itertools.pairwise(np.unique([0, *np.searchsorted(ends, np.arange(SLICE, int(ends[-1]), SLICE)).tolist(), docs_here]).tolist()):
+                    records = _records(heads[a:b, 0], heads[a:b, 1], flat[ends[a - 1] if a else 0:ends[b - 1]], length, item)
+                    records["slot"] = permute(shared.value[task] + first + np.arange(len(records)), total, key)
+                    first += len(records)
+                    shards = records["slot"] // per_shard
+                    order = np.argsort(shards, kind="stable")
+                    records, shards = records[order], shards[order]
+                    for x, y in itertools.pairwise([0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(records)]):
+                        held.setdefault(int(shards[x]), []).append(records[x:y])
+                    weight += records.nbytes
                 if weight > 64_000_000:
                     weight = 0
                     yield flush()
