@@ -29,7 +29,16 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a staged table that no later step reads: all that came of it is staged itself, so lost executors do not ask for it again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_pieces, staged
+from .common import components, discard, in_pieces, staged
 
 SHINGLE, PERCENT, BUCKETS, SLICES = 3, 90, 1 << 20, 256
 LIGHT_SIZES = range(4, 21)
@@ -124,11 +124,11 @@ def _add_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
 
 
-SURVEY = "doc_id long, n_shingles int, digest binary, cls long, sketch binary, slice int, counts binary"
+SURVEY = "doc_id long, n_shingles int, digest binary, cls long, slice int, counts binary"
 
 
 def _survey(rows: DataFrame, width: int) -> DataFrame:
-    """A row for each document: the size of its set, its digest, the digest's first 64 bits, its sketch. And, in rows that have a
+    """A row for each document: the size of its set, its digest, the digest's first 64 bits. And, in rows that have a
     slice, how many documents of a task hold a word of each bucket (its hash's top 20 bits)."""
     part = BUCKETS // SLICES
 
@@ -141,7 +141,7 @@ def _survey(rows: DataFrame, width: int) -> DataFrame:
                 np.add.at(total, np.unique(_bucket(words)), 1)
                 sets.append(np.unique(_joined(words, width)))
             marks = [_digest(s) if len(s) else None for s in sets]
-            yield _record({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int32()), "digest": pa.array(marks, pa.binary()), "cls": pa.array([None if m is None else _class(m) for m in marks], pa.int64()), "sketch": pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary())})
+            yield _record({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int32()), "digest": pa.array(marks, pa.binary()), "cls": pa.array([None if m is None else _class(m) for m in marks], pa.int64())})
         held = [k for k in range(SLICES) if total[k * part:(k + 1) * part].any()]
         yield _record({"slice": pa.array(held, pa.int32()), "counts": pa.array([total[k * part:(k + 1) * part].tobytes() for k in held], pa.binary())})
 
@@ -205,13 +205,13 @@ def connect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = _survey(rows, width)
     order = docs.sparkSession.sparkContext.broadcast(word_counts(survey).astype(np.uint32))  # 4 MB, whatever the input
-    members = survey.where("slice is null").select("doc_id", "n_shingles", "digest", "cls", "sketch")
+    members = survey.where("slice is null").select("doc_id", "n_shingles", "digest", "cls")
     full = members.where("digest is not null and doc_id is not null")
-    classes = staged(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("cls").alias("cls"), F.first("sketch").alias("sketch")), "classes")
+    classes = staged(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("cls").alias("cls")), "classes")
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= max(LIGHT_SIZES)).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(sizes, percent)
     keys = _keys(rows, order, boundary, width, percent)
-    edges = _light(keys.where("lo > 0"), classes).unionByName(_heavy(keys.where("lo = 0").select("key", "n", "cls"), rows, classes, width, percent))
+    edges = staged(_light(keys.where("lo > 0"), classes), "light").unionByName(_heavy(keys, rows, classes, width, percent))
     # links go between classes; an id with several texts ties their classes
     several = full.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("doc_id")
     tied = full.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -263,6 +263,31 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.bincount(part, weights=(_mix(s) & np.uint64(255)).astype(np.float64), minlength=parts).astype(np.int64).astype(np.uint8).tobytes()
 
 
+def _sketches(ids: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, n, sketch) of the classes that go by these documents. Made where the texts are, for texts that a bitmap of ids does not rule
+    out, so that only the sketches of sets that meet others are moved or stored."""
+    some = _maybe(rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), ids)
+
+    def make(batches):
+        seen = set()
+        for held, texts in in_pieces(batches, ["id", "text"]):
+            out = []
+            for i, t in zip(held, texts, strict=True):
+                s = shingles(t, width)
+                mark = _digest(s) if len(s) else None
+                if mark is None or (i, mark) in seen:
+                    continue
+                seen.add((i, mark))
+                out.append((i, mark, len(s), _sketch(s)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), [pa.int64(), pa.binary(), pa.int32(), pa.binary()], strict=True)], ["id", "digest", "n", "sketch"])
+
+    made = some.mapInArrow(make, "id long, digest binary, n int, sketch binary")
+    # a document that has several texts stands only for the classes in which it is the smallest
+    own = classes.select(F.col("rep").alias("id"), "digest").join(ids, "id", "left_semi")
+    return made.join(own, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("id", "n", "sketch")
+
+
 def _folded(sketch: bytes, parts: int) -> np.ndarray:
     return np.frombuffer(sketch, np.uint8).reshape(-1, parts).sum(0, dtype=np.uint8)
 
@@ -320,8 +345,10 @@ def _light(keys: DataFrame, classes: DataFrame) -> DataFrame:
     return met.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def _heavy(tokens: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of sets with more than boundary shingles (and any between these and smaller ones). A class goes by its smallest document."""
+def _heavy(keys: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of sets with more than boundary shingles (and any between these and smaller ones). A class goes by its smallest document.
+    keys, staged, is read here for the last time and removed."""
+    tokens = keys.where("lo = 0").select("key", "n", "cls")
     counted = tokens.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("c"), F.min("n").alias("s"), F.max("n").alias("t"))
     shared = staged(counted.where(f"x <> y and (c > 2 or 100 * s >= {percent} * t)").drop("s", "t"), "shared")
     # most lists hold two sets, which the count has found; the same two have many, and are one pair
@@ -333,17 +360,19 @@ def _heavy(tokens: DataFrame, rows: DataFrame, classes: DataFrame, width: int, p
     split = met.select("key", "id", "n", band.alias("band"), F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
     split = split.groupBy(F.xxhash64("key", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") + 1)).alias("token"), "id", "n").agg(F.max("own").alias("own"))
     listed = staged(split, "lists")
+    discard(keys)
     # near copies share many lists: of those that hold the same sets, by two hashes of all their members, one is scanned
     member = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "id", "n"))
     length = listed.groupBy("token").agg(F.count("*").alias("m"), F.max("own").alias("own"), F.min("id").alias("x"), F.max("id").alias("y"), member(1).alias("h1"), member(2).alias("h2")).where("own and x <> y")
     length = staged(length.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token", "m"), "lengths")
     entries = staged(listed.join(length, "token").select("token", "id", "n", "m"), "entries")
+    discard(listed)
     weight = staged(entries.groupBy("id").agg((F.sum("m") / F.max("n")).alias("weight")), "weights")
     leader = staged(entries.join(weight, "id").groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), F.col("n").alias("n"))).alias("l")).select("token", (-F.col("l.id")).alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
     led = staged(entries.select("token", "id", "n").join(leader, "token"), "led")
     pairs = staged(led.select("leader", "leader_n", "id", "n").distinct(), "stars")
     pairs = staged(pairs.unionByName(two).distinct(), "pairs")
-    sketches = staged(_among(classes.select(F.col("rep").alias("id"), "n", "sketch"), pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()), "sketches")
+    sketches = staged(_sketches(pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct(), rows, classes, width), "sketches")
     # sizes rule out most unrelated pairs before sketches are moved
     apart = pairs.where("id <> leader").withColumn("ratio", F.least("n", "leader_n") / F.greatest("n", "leader_n"))
     by_size = apart.where(F.least("n", "leader_n") * 100 < F.greatest("n", "leader_n") * percent).select("leader", "id", F.lit(False).alias("possible"), (1 - F.col("ratio")).alias("lo"))
@@ -410,12 +439,16 @@ def _bitmap(ids: DataFrame):
     return staged(words, "bitmap"), lambda held, slot: F.expr(f"(shiftrightunsigned({held}, cast({slot} % 64 as int)) & 1) = 1")
 
 
-def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df (id, ...) whose id is among ids. A broadcast bitmap leaves out most of the others before rows are moved; the
-    join decides."""
+def _maybe(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df (id, ...) whose id is in a broadcast bitmap of ids: all that are among ids, and few others."""
     held, bit = _bitmap(ids)
     some = df.withColumn("__slot", _slot("id")).withColumn("word", F.expr("__slot div 64")).join(F.broadcast(held), "word")
-    return some.where(bit("held", "__slot")).select(*df.columns).join(ids.select("id"), "id", "left_semi")
+    return some.where(bit("held", "__slot")).select(*df.columns)
+
+
+def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df (id, ...) whose id is among ids. The bitmap leaves out most of the others before rows are moved; the join decides."""
+    return _maybe(df, ids).join(ids.select("id"), "id", "left_semi")
 
 
 def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
