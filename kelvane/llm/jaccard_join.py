@@ -22,7 +22,7 @@ hash. Words, not shingles, are counted: a fixed number of buckets of word hashes
 corpus, where buckets of shingles would all fill up alike. Counts cover all documents; the order is total in any case and
 results do not depend on it. Lists are split by bands of sizes, as sets that link have sizes in one band or in two neighbouring ones.
 
-Texts are read twice, and a third time for candidates. What moves is a row of two longs for each entry of a list; an equal set
+Texts are read twice, and again for sets that meet others: for their sketches, and for pairs to measure. What moves is a row of two longs for each entry of a list; an equal set
 is listed once a task. Text: A-Z lower-cased, words split by space and \\t to \\r. Null or empty text and text
 without words: an empty set, linked with nothing. A null id: its row stays, with a null component, and links with nothing. A
 repeated id is one document with several texts. Extra columns are not read. Sets are compared by 64-bit shingle hashes.
