@@ -39,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, in_pieces, staged
+from .common import components, discard, in_pieces, lean, staged
 
 SHINGLE, PERCENT, BUCKETS, SLICES = 3, 90, 1 << 20, 256
+KEY_BITS = 40  # of a shingle's hash that name its list: lists that clash are one, which adds candidates and loses none
 LIGHT_SIZES = range(4, 21)
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _GAPS = bytes(1 if b in b" \t\n\x0b\x0c\r" else 0 for b in range(256))
@@ -132,6 +133,7 @@ def _survey(rows: DataFrame, width: int) -> DataFrame:
     slice, how many documents of a task hold a word of each bucket (its hash's top 20 bits)."""
     part = BUCKETS // SLICES
 
+    @lean
     def run(batches):
         total = np.zeros(BUCKETS, np.int32)
         for ids, texts in in_pieces(batches, ["doc_id", "text"]):
@@ -268,6 +270,7 @@ def _sketches(ids: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -
     out, so that only the sketches of sets that meet others are moved or stored."""
     some = _maybe(rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), ids)
 
+    @lean
     def make(batches):
         seen = set()
         for held, texts in in_pieces(batches, ["id", "text"]):
@@ -303,6 +306,7 @@ def _keys(rows: DataFrame, order, boundary: int, width: int, percent: int) -> Da
     (64 bits of a digest); all of them are then taken."""
     floor = max(1, -(-(boundary + 1) * percent // 100))
 
+    @lean
     def emit(batches):
         counts, seen = order.value, set()
         for ids, texts in in_pieces(batches, ["doc_id", "text"]):
@@ -329,7 +333,7 @@ def _keys(rows: DataFrame, order, boundary: int, width: int, percent: int) -> Da
             if light:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*light, strict=True), [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names)
             if tokens:
-                key = np.concatenate(tokens).view(np.int64)
+                key = (np.concatenate(tokens) >> np.uint64(64 - KEY_BITS)).view(np.int64)
                 zero = pa.array(np.zeros(len(key), np.int32))
                 yield pa.RecordBatch.from_arrays([zero, zero, pa.array(key), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(owners))], names)
 
@@ -405,6 +409,7 @@ def _heavy(keys: DataFrame, rows: DataFrame, classes: DataFrame, width: int, per
 def _rule_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(leader, id, possible, lo): whether sizes and sketches let the pair link, and the least distance that
     the sketches allow."""
+    @lean
     def look(batches):
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
@@ -463,6 +468,7 @@ def _measured(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     ids = staged(pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct(), "ids")
     texts = staged(_texts_of(ids, rows), "near-texts")
 
+    @lean
     def measure(batches):
         last, base = None, None
         for leads, lead_texts, ids, texts_ in in_pieces(batches, ["leader", "lead_text", "id", "text"]):
@@ -512,6 +518,7 @@ def _blocks(groups: DataFrame, comp: DataFrame, sketches: DataFrame, percent: in
     sides = meets.select(*[F.col(c).alias(b) for c, b in zip(meets.columns, block, strict=True)], *group, F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("band", "kind", "part")]) for k in "lr"]))).alias("p"))
     rows = sides.select(*block, *group, "p.*").join(placed, [*group, "band", "kind", "part"]).select(*block, "far", "id", "lo", "hi", "comp").join(sketches, "id")
 
+    @lean
     def meet(batches):
         for g in runs_of(batches, block):
             lo, hi, n, comps, ids, sketch = (g[c] for c in ("lo", "hi", "n", "comp", "id", "sketch"))

@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_pieces
+from .common import in_pieces, lean
 
 SAMPLE = 1000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 MAX_LANGS = 1000
+PIECE = 500_000  # characters that relabel looks at, and gives back, at once
 EVIDENCE = 40.0
 ALPHA = 0.5
 # n-grams that a text may lack of all whitespace runs count as one space
@@ -141,21 +142,22 @@ def relabel(docs: DataFrame, model, text_col: str = "text", lang_col: str = "lan
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T)))
 
+    @lean
     def run(batches):
         names, table = shared.value
         table = np.asfortranarray(table)
         for batch in batches:
-            pred, score = [], []
-            for (texts,) in in_pieces([batch], [text_col]):
+            done = 0
+            for (texts,) in in_pieces([batch], [text_col], PIECE):
                 at = [k for k, t in enumerate(texts) if names and has_letter(t)]
                 p, s = ["und"] * len(texts), [0.0] * len(texts)
                 if at:
                     for k, x, y in zip(at, *score_texts([texts[k] for k in at], names, table), strict=True):
                         p[k], s[k] = x, float(y)
-                pred += p
-                score += s
-            out = batch.set_column(batch.schema.get_field_index(lang_col), lang_col, pa.array(pred, pa.string()))
-            yield out.append_column("__score", pa.array(score, pa.float64()))
+                part = batch.slice(done, len(texts))
+                done += len(texts)
+                out = part.set_column(part.schema.get_field_index(lang_col), lang_col, pa.array(p, pa.string()))
+                yield out.append_column("__score", pa.array(s, pa.float64()))
 
     fields = [f if f.name != lang_col else T.StructField(lang_col, T.StringType()) for f in docs.schema.fields]
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField("__score", T.DoubleType())]))

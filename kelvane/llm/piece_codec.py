@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import in_pieces
+from .common import in_pieces, lean
 
 SPACE = "▁"
 LONG = 64  # longer segments are joined one by one, with a heap
@@ -454,9 +454,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under 1 MB
 
+    @lean
     def run(batches):
         codec = Codec(Model(shared.value))
-        for keys, texts in in_pieces(batches, ["doc_id", "text"], BATCH):
+        for keys, texts in in_pieces(batches, ["doc_id", "text"], BATCH // 2):
             ids, offsets = codec.encode([t or "" for t in texts])
             back = codec.decode(ids, offsets)
             here = [t is not None for t in texts]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +36,21 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "t").collect() == []
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    def held():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, conf = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    df = spark.range(10000).selectExpr("id % 100 AS k", "id").groupBy("k").count()  # held, so that no garbage collection removes what it shuffled
+    assert common.staged(df, "t").count() == 100 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == conf
+    for _ in range(50):
+        if not (left := {x for x in held() - before if x.endswith(".data")}):
+            break
+        time.sleep(0.2)
+    assert len(left) <= 4  # of the count above, a row for each of 4 tasks at most
+    assert df.count() == 100
+
+
 def words(t, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(TOP))
     return frozenset(tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
