@@ -22,6 +22,7 @@ import heapq
 import itertools
 import re
 import struct
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from .common import in_pieces, lean
 
 SPACE = "▁"
 LONG = 64  # longer segments are joined one by one, with a heap
+WIDTHS = (8, 12, 16, 24, 40, LONG)  # shorter ones with those of about their length
 CACHE, LEARN, BATCH = 400_000, 200_000, 3_000_000
 NEVER = np.int32(2**31 - 1)
 _SEGMENT = re.compile(r" *[^ ]+| +\Z")
@@ -98,11 +100,18 @@ class Model:
         for k, i in enumerate(self.normal):
             p = self.pieces[i]
             chars[k, :len(p)] = [ord(c) for c in p]
-        self.chars = chars
+        letters = np.unique(chars[chars > 0])
+        #: letters are the characters of pieces, from 1; 0 is any other
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.spelled = self.letter[chars]
+        self.met, self.ready = np.zeros(len(letters) + 1, bool), None
         self.lengths = np.array([len(self.pieces[i]) for i in self.normal])
         self.ids = np.array(self.normal, np.int32)
         #: order in which BPE joins pairs: equal scores are equal; the last entry is for no piece
         self.priority = np.concatenate([np.unique(-self.scores, return_inverse=True)[1].astype(np.int32), [NEVER]]).astype(np.int32)
+        #: the same before the column of a pair in a segment of at most LONG characters
+        self.rank = np.where(self.priority == NEVER, NEVER, self.priority * LONG).astype(np.int32)
         # bytes that each id stands for
         raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for b, i in self.bytes.items():
@@ -114,6 +123,45 @@ class Model:
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)])[:-1]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    def packed(self, letters: np.ndarray) -> Packed:
+        """Pieces that can occur in texts of the letters met so far, these included; made anew only when a letter is new."""
+        here = np.zeros(len(self.met), bool)
+        here[letters] = True
+        here[0] = False
+        if self.ready is None or (here & ~self.met).any():
+            self.met |= here
+            number = np.cumsum(self.met) * self.met
+            bits = max(1, int(number.max()).bit_length())
+            wide = 64 // bits
+            piece = number[self.spelled]
+            live = np.flatnonzero(((piece > 0) == (self.spelled > 0)).all(1))
+            piece = np.concatenate([piece[live], np.zeros((len(live), -self.depth % wide), piece.dtype)], 1)
+            low = _packed(piece[:, :wide], bits, False)
+            order = np.argsort(low, kind="stable")
+            live, piece = live[order], piece[order]
+            self.ready = Packed(number.astype(np.uint64), bits, wide, piece, self.lengths[live], self.ids[live], low[order], _packed(piece[:, :wide], bits, True))
+        return self.ready
+
+
+class Packed(NamedTuple):
+    """Numbers of letters (0: not met, or of no piece), their bits, how many 64 bits hold, and the pieces of letters met in the order of their
+    first characters: numbers, lengths, ids, and the least and greatest key of what begins as they do."""
+
+    number: np.ndarray
+    bits: int
+    wide: int
+    piece: np.ndarray
+    length: np.ndarray
+    ids: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+@functools.lru_cache(maxsize=2)
+def parsed(proto: bytes) -> Model:
+    """The model, read once by a worker process that runs several tasks."""
+    return Model(proto)
+
 
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> Model:
@@ -127,15 +175,17 @@ class Edges:
 
     def __init__(self, keys: np.ndarray, n: int):
         keys = np.sort(keys)
-        pos, length = (keys >> np.uint64(26)).astype(np.int64), (keys >> np.uint64(20)) & np.uint64(63)
+        count = np.bincount((keys >> np.uint64(26)).astype(np.int64), minlength=n)
         self.ids = (keys & np.uint64((1 << 20) - 1)).astype(np.int32)
-        self.mask = np.bincount(pos, weights=np.exp2(length.astype(np.float64)), minlength=n).astype(np.uint64)
-        self.first = np.cumsum(np.bincount(pos, minlength=n)) - np.bincount(pos, minlength=n)
+        self.first = np.cumsum(count) - count
+        self.mask, some = np.zeros(n, np.uint64), np.flatnonzero(count)
+        if len(some):
+            self.mask[some] = np.bitwise_or.reduceat(np.uint64(1) << ((keys >> np.uint64(20)) & np.uint64(63)), self.first[some])
 
     def find(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Piece ids of (position, length), -1 where there is none."""
         if not len(self.ids):
-            return np.full(len(at), -1, np.int32)
+            return np.full(np.shape(at), -1, np.int32)
         bit = np.uint64(1) << np.minimum(length, 63).astype(np.uint64)
         mask = self.mask[at]
         k = self.first[at] + np.bitwise_count(mask & (bit - np.uint64(1)))
@@ -164,20 +214,13 @@ def occurrences(codes: np.ndarray, model: Model) -> Edges:
     still match.
     """
     n = len(codes)
-    seen = np.zeros(0x110000, bool)
-    seen[codes] = True
-    number = np.cumsum(seen) * seen
-    bits = int(number.max()).bit_length()
-    wide = 64 // bits
-    text = np.concatenate([number[codes], np.zeros(wide, np.int64)])
+    letters = model.letter[codes]
+    number, bits, wide, piece, length, ids, low, high = model.packed(letters)
+    text = np.concatenate([number[letters], np.zeros(wide, np.uint64)])
     key = np.zeros(n, np.uint64)
     for d in range(wide):
-        key = (key << np.uint64(bits)) | text[d:n + d].astype(np.uint64)
-    piece = number[model.chars] * (model.chars > 0)
-    live = np.flatnonzero(((piece > 0) == (model.chars > 0)).all(1))
-    piece, length, ids = piece[live], model.lengths[live], model.ids[live]
-    pad = -piece.shape[1] % wide
-    piece = np.concatenate([piece, np.zeros((len(piece), pad), piece.dtype)], 1)
+        key <<= np.uint64(bits)
+        key |= text[d:n + d]
     order = np.argsort(key)
     in_order = key[order]
     new = np.concatenate([[True], in_order[1:] != in_order[:-1]])
@@ -191,7 +234,6 @@ def occurrences(codes: np.ndarray, model: Model) -> Edges:
         at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count)
         found.append((order[at].astype(np.uint64) << np.uint64(26)) | np.repeat((length[which].astype(np.uint64) << np.uint64(20)) | ids[which].astype(np.uint64), count))
 
-    low, high = _packed(piece[:, :wide], bits, False), _packed(piece[:, :wide], bits, True)
     which = np.flatnonzero(length <= wide)
     gather(which, order, np.searchsorted(in_order, low[which]), np.searchsorted(in_order, high[which], "right"))
     which = np.flatnonzero(length > wide)
@@ -276,68 +318,63 @@ def encode_segments(segments: list[str], model: Model):
     lens = np.array([len(s) for s in segments])
     begin = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
     edges = occurrences(codes, model)
-    done_at, done_end, done_seg = [], [], []
-    short = np.flatnonzero((lens <= LONG) & (lens > 0) & (not model.unigram))
+    stop = np.zeros(len(codes), np.int64)  # where the symbol ends that begins here
     for k in np.flatnonzero(lens > (0 if model.unigram else LONG)):
         a, b = int(begin[k]), int(begin[k] + lens[k])
         edge = edges.rows(a, b, model.depth)
         got = _best_path(a, b, edge, model.scores, float(model.scores[model.ids].min())) if model.unigram else _join_long(a, b, edge, model.scores)
-        done_at.append(np.array([x for x, _ in got]))
-        done_end.append(np.array([x for _, x in got]))
-        done_seg.append(np.full(len(got), k))
-    seg = np.repeat(short, lens[short])
-    at = np.arange(len(seg)) - np.repeat(np.cumsum(lens[short]) - lens[short], lens[short]) + np.repeat(begin[short], lens[short])
-    end = at + 1
-
-    def price(k):
-        """Priority of joining symbols k and k + 1, NEVER if they make no piece."""
-        ok = k + 1 < len(seg)
-        nxt = np.minimum(k + 1, len(seg) - 1)
-        ok &= seg[nxt] == seg[k]
-        width = np.where(ok, end[nxt] - at[k], 0)
-        return model.priority[np.where((width > 0) & (width <= model.depth), edges.find(at[k], width), -1)]
-
-    cost = price(np.arange(len(seg)))
-    while len(seg):
-        # the best pair of each segment, the first of equals
-        heads = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        best = np.minimum.reduceat(cost, heads)
-        top = np.repeat(best, np.diff(np.concatenate([heads, [len(seg)]])))
-        settled = top == NEVER
-        hit = np.flatnonzero((cost == top) & ~settled)
-        if len(hit):
-            hit = hit[np.concatenate([[True], seg[hit][1:] != seg[hit][:-1]])]
-        if settled.any():
-            done_at.append(at[settled])
-            done_end.append(end[settled])
-            done_seg.append(seg[settled])
-        keep = ~settled
-        end[hit] = end[hit + 1]
-        keep[hit + 1] = False
-        place = np.cumsum(keep) - 1
-        seg, at, end, cost = seg[keep], at[keep], end[keep], cost[keep]
-        hit = place[hit]
-        before = hit[(hit > 0)] - 1
-        for k in (hit, before):
-            cost[k] = price(k)
-    if not done_at:
-        return np.zeros(0, np.int32), np.zeros(len(segments) + 1, np.int64)
-    at, end, seg = np.concatenate(done_at), np.concatenate(done_end), np.concatenate(done_seg)
-    order = np.argsort(at)
-    at, end, seg = at[order], end[order], seg[order]
-    ids = edges.find(at, end - at)
+        stop[[x for x, _ in got]] = [x for _, x in got]
+    for least, most in itertools.pairwise([0, *WIDTHS]):
+        some = np.flatnonzero((lens > least) & (lens <= most) & (not model.unigram))
+        if len(some):
+            _join_short(begin[some], lens[some], most, edges, model, stop)
+    at = np.flatnonzero(stop)
+    ids = edges.find(at, stop[at] - at)
+    offsets = np.concatenate([[0], np.cumsum(stop > 0)[begin + lens]])
     if (ids < 0).any():  # one character each
-        parts, owner = [], []
-        for k in np.flatnonzero(ids < 0):
-            raw = chr(codes[at[k]]).encode("utf-8", "replace")
-            parts.append([model.bytes[b] for b in raw] if model.bytes else [model.unknown])
+        none = np.flatnonzero(ids < 0)
+        chars, which = np.unique(codes[at[none]], return_inverse=True)
+        parts = [[model.bytes[b] for b in chr(c).encode("utf-8", "replace")] if model.bytes else [model.unknown] for c in chars.tolist()]
         size = np.ones(len(ids), np.int64)
-        size[ids < 0] = [len(p) for p in parts]
-        owner = np.repeat(np.arange(len(ids)), size)
-        out = ids[owner]
-        out[out < 0] = np.concatenate(parts)
-        ids, seg = out, seg[owner]
-    return ids, np.concatenate([[0], np.cumsum(np.bincount(seg, minlength=len(segments)))])
+        size[none] = np.array([len(p) for p in parts])[which]
+        ends = np.cumsum(size)
+        out = np.repeat(ids, size)
+        out[out < 0] = np.concatenate([parts[k] for k in which.tolist()])
+        ids, offsets = out, np.concatenate([[0], ends])[offsets]
+    return ids, offsets
+
+
+def _join_short(begin: np.ndarray, lens: np.ndarray, width: int, edges: Edges, model: Model, stop: np.ndarray) -> None:
+    """Joins pairs in all segments at once, each of at most width characters, and sets where their symbols stop. A column of the matrices is a segment; in
+    a row are the symbols that begin at its character, and the price of joining each with the next: its rank, then the row, so that the least is the
+    first of equals."""
+    n = len(begin)
+    row = np.arange(width, dtype=np.int32)[:, None]
+    price = model.rank[edges.find(np.minimum(begin + row, len(stop) - 1), np.array(2))] | row
+    price[row + 1 >= lens] = NEVER
+    end, left = np.repeat(row + 1, n, 1).ravel(), np.repeat(row - 1, n, 1).ravel()
+    alive, flat = row < lens, price.ravel()
+    gone = alive.ravel()
+    while True:
+        best = price.min(0)
+        on = np.flatnonzero(best != NEVER)
+        if not len(on):
+            break
+        i = best[on] & (LONG - 1)
+        here = i * n + on
+        second = end[here] * n + on
+        e = end[second]
+        end[here], flat[second], flat[here], gone[second] = e, NEVER, NEVER, False
+        more = np.flatnonzero(e < lens[on])
+        after = e[more] * n + on[more]
+        left[after] = i[more]
+        before = left[here]
+        less = np.flatnonzero(before >= 0)
+        # the new symbol with the next one, and the one before with the new symbol
+        first, last, seg = np.concatenate([i[more], before[less]]), np.concatenate([end[after], e[less]]), np.concatenate([on[more], on[less]])
+        flat[first * n + seg] = model.rank[edges.find(begin[seg] + first, last - first)] | first
+    r, c = np.nonzero(alive)
+    stop[begin[c] + r] = begin[c] + end[r * n + c]
 
 
 class _Numbers(dict):
@@ -456,7 +493,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     @lean
     def run(batches):
-        codec = Codec(Model(shared.value))
+        codec = Codec(parsed(shared.value))
         for keys, texts in in_pieces(batches, ["doc_id", "text"], BATCH // 2):
             ids, offsets = codec.encode([t or "" for t in texts])
             back = codec.decode(ids, offsets)
@@ -482,7 +519,7 @@ def packer(spark: SparkSession, model_path: str, id_bytes: int = 2):
         raise ValueError(f"the vocabulary does not fit in {id_bytes} bytes")
 
     def run(batches):
-        codec = Codec(Model(shared.value))
+        codec = Codec(parsed(shared.value))
         for keys, texts in in_pieces(batches, ["doc_id", "body"], BATCH):
             ids, offsets = codec.encode([t or "" for t in texts])
             raw = ids.astype(f"<u{id_bytes}")
@@ -497,7 +534,7 @@ def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
         shared = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        codec = Codec(Model(shared.value))
+        codec = Codec(parsed(shared.value))
         for batch in batches:
             keys, lists = batch.column(0), batch.column(1).to_pylist()
             flat = np.array(list(itertools.chain.from_iterable(x or [] for x in lists)), np.int64)

@@ -634,3 +634,35 @@ def test_codec_forgets_and_still_encodes(monkeypatch):
         ids, offsets = codec.encode(texts[k:k + 5])
         got += [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
     assert got == [want[0][a:b].tolist() for a, b in zip(want[1], want[1][1:])]
+
+
+def test_pieces_are_packed_once_for_the_same_letters(monkeypatch):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcde") for _ in range(r.randrange(5, 30))) for _ in range(400)]
+    real, calls = piece_codec._packed, []
+    monkeypatch.setattr(piece_codec, "_packed", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(piece_codec, "LEARN", 500)
+    with open(queries.vocabulary(), "rb") as f:
+        codec = piece_codec.Codec(piece_codec.Model(f.read()))
+    codec.encode([" ".join(["abcde", *words])])
+    assert len(codec.known) > 300 and len(calls) == 2
+
+
+def test_segments_of_all_lengths_join_as_by_definition():
+    model = piece_codec.load(queries.vocabulary())
+    number = {model.pieces[i]: i for i in model.normal}
+    r = random.Random(7)
+    lengths = sorted({0, 1, 2, piece_codec.LONG + 1, *(w + d for w in piece_codec.WIDTHS for d in (-1, 0, 1))})
+    for alphabet in ("\x01\x02", "ab", "▁etainrs", "é中\n😀a=", "".join(r.sample([model.pieces[i] for i in model.normal], 300))):
+        segments = ["".join(r.choice(alphabet) for _ in range(n)) for n in lengths * 3]
+        ids, at = piece_codec.encode_segments(segments, model)
+        for s, a, b in zip(segments, at, at[1:], strict=False):
+            parts = list(s)
+            while True:
+                pairs = [(-model.scores[number[x + y]], k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in number]
+                if not pairs:
+                    break
+                k = min(pairs)[1]
+                parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            want = [i for p in parts for i in ([number[p]] if p in number else [model.bytes[x] for x in p.encode()])]
+            assert ids[a:b].tolist() == want, s
