@@ -100,14 +100,16 @@ class Model:
         for k, i in enumerate(self.normal):
             p = self.pieces[i]
             chars[k, :len(p)] = [ord(c) for c in p]
+        self.lengths = np.array([len(self.pieces[i]) for i in self.normal])
+        self.ids = np.array(self.normal, np.int32)
         letters = np.unique(chars[chars > 0])
         #: letters are the characters of pieces, from 1; 0 is any other
         self.letter = np.zeros(0x110000, np.int32)
         self.letter[letters] = np.arange(1, len(letters) + 1)
         self.spelled = self.letter[chars]
+        self.single = np.full(len(letters) + 1, -1, np.int32)  # the piece that is a letter alone
+        self.single[self.spelled[self.lengths == 1, 0]] = self.ids[self.lengths == 1]
         self.met, self.ready = np.zeros(len(letters) + 1, bool), None
-        self.lengths = np.array([len(self.pieces[i]) for i in self.normal])
-        self.ids = np.array(self.normal, np.int32)
         #: order in which BPE joins pairs: equal scores are equal; the last entry is for no piece
         self.priority = np.concatenate([np.unique(-self.scores, return_inverse=True)[1].astype(np.int32), [NEVER]]).astype(np.int32)
         #: the same before the column of a pair in a segment of at most LONG characters
@@ -171,11 +173,11 @@ def load(path: str) -> Model:
 
 class Edges:
     """Occurrences of pieces, sorted by position, then length: for each position a bit set of lengths and
-    where its pieces begin."""
+    where its pieces begin. Pieces of one character are kept by position alone."""
 
-    def __init__(self, keys: np.ndarray, n: int):
-        keys = np.sort(keys)
-        count = np.bincount((keys >> np.uint64(26)).astype(np.int64), minlength=n)
+    def __init__(self, keys: np.ndarray, one: np.ndarray):
+        self.one, n, keys = one, len(one), np.sort(keys)
+        count = np.bincount((keys >> np.uint64(26)).view(np.int64), minlength=n)
         self.ids = (keys & np.uint64((1 << 20) - 1)).astype(np.int32)
         self.first = np.cumsum(count) - count
         self.mask, some = np.zeros(n, np.uint64), np.flatnonzero(count)
@@ -183,7 +185,7 @@ class Edges:
             self.mask[some] = np.bitwise_or.reduceat(np.uint64(1) << ((keys >> np.uint64(20)) & np.uint64(63)), self.first[some])
 
     def find(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Piece ids of (position, length), -1 where there is none."""
+        """Piece ids of (position, length of two or more), -1 where there is none."""
         if not len(self.ids):
             return np.full(np.shape(at), -1, np.int32)
         bit = np.uint64(1) << np.minimum(length, 63).astype(np.uint64)
@@ -194,7 +196,9 @@ class Edges:
     def rows(self, start: int, end: int, depth: int) -> np.ndarray:
         """Ids by position (from start) and length, for a long segment."""
         at = np.repeat(np.arange(start, end), depth + 1)
-        return self.find(at, np.tile(np.arange(depth + 1), end - start)).reshape(-1, depth + 1)
+        out = self.find(at, np.tile(np.arange(depth + 1), end - start)).reshape(-1, depth + 1)
+        out[:, 1] = self.one[start:end]
+        return out
 
 
 def _packed(cols: np.ndarray, bits: int, fill: bool) -> np.ndarray:
@@ -234,7 +238,7 @@ def occurrences(codes: np.ndarray, model: Model) -> Edges:
         at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count)
         found.append((order[at].astype(np.uint64) << np.uint64(26)) | np.repeat((length[which].astype(np.uint64) << np.uint64(20)) | ids[which].astype(np.uint64), count))
 
-    which = np.flatnonzero(length <= wide)
+    which = np.flatnonzero((length > 1) & (length <= wide))
     gather(which, order, np.searchsorted(in_order, low[which]), np.searchsorted(in_order, high[which], "right"))
     which = np.flatnonzero(length > wide)
     rank, base = rank0, len(unique) + 1
@@ -263,7 +267,7 @@ def occurrences(codes: np.ndarray, model: Model) -> Edges:
         go = ~ends & (hi > lo)
         which, prefix = which[go], ranks[np.minimum(lo[go], len(ranks) - 1)] if len(ranks) else prefix[go]
         level += 1
-    return Edges(np.concatenate(found), n)
+    return Edges(np.concatenate(found), model.single[letters])
 
 
 def _join_long(start: int, end: int, edge: np.ndarray, scores: np.ndarray) -> list[tuple[int, int]]:
@@ -315,7 +319,7 @@ def encode_segments(segments: list[str], model: Model):
     """(ids, offsets) of segments, each given as its characters with spaces as U+2581."""
     text = "\0".join(segments) + "\0"
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lens = np.array([len(s) for s in segments])
+    lens = np.fromiter(map(len, segments), np.int64, len(segments))
     begin = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
     edges = occurrences(codes, model)
     stop = np.zeros(len(codes), np.int64)  # where the symbol ends that begins here
@@ -329,7 +333,7 @@ def encode_segments(segments: list[str], model: Model):
         if len(some):
             _join_short(begin[some], lens[some], most, edges, model, stop)
     at = np.flatnonzero(stop)
-    ids = edges.find(at, stop[at] - at)
+    ids = np.where(stop[at] == at + 1, edges.one[at], edges.find(at, stop[at] - at))
     offsets = np.concatenate([[0], np.cumsum(stop > 0)[begin + lens]])
     if (ids < 0).any():  # one character each
         none = np.flatnonzero(ids < 0)
