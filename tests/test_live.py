@@ -155,6 +155,30 @@ def test_bags_and_nulls(spark):
     assert c.join(spark.table("y2"), F.col("year") == F.col("y"), "left_anti").count() == 1
 
 
+def test_bags_with_few_keys_join_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(algebra, "BLOCK", 64, raising=False)
+    monkeypatch.setattr(algebra, "TASK", 10_000, raising=False)
+    s = [(i // 2 or None, 3 if i < 300 else i % 7 or None) for i in range(330)]
+    c = [(i // 2 or None, 3 if i < 400 else i % 9 or None) for i in range(440)]
+    spark.createDataFrame(s, "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(c, "c_custkey long, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = driver_queries.QUERIES["bags_join"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((a, b)) for a, m in s for b, n in c if m == n and m is not None)
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) <= 20_000
+    # the rows of one array with another are not held at once
+    assert "transform(" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bag_join_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(algebra, "BLOCK", 3)
+    r = spark.createDataFrame([(1.0, 1, "a"), (-0.0, 1, "b"), (float("nan"), 1, "c"), (None, 1, "d"), (1.0, None, "e"), (1.0, 2, None)] * 5, "x double, y int, v string")
+    s = spark.createDataFrame([(1.0, 1, b"f"), (0.0, 1, b"g"), (float("nan"), 1, None), (None, 1, b"h"), (1.0, 2, b"i"), (7.0, 7, b"j")] * 4, "p double, q long, w binary")
+    got, want = algebra.bag_join(r, s, {"x": "p", "y": "q"}), algebra.equi_join(r, s, {"x": "p", "y": "q"})
+    assert got.dtypes == want.dtypes and want.count() == 80
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert algebra.bag_join(r, s.limit(0), {"x": "p", "y": "q"}).count() == 0
+
+
 def test_first_wins_and_compare_and_put(spark):
     live = spark.createDataFrame([("k", 7)], "key string, version long")
     tries = spark.createDataFrame([(8, "k", 6), (9, "k", 7), (10, "k", 7), (11, "j", None)], "seq long, key string, expected long")
